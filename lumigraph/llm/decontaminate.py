@@ -5,7 +5,7 @@ score is the share of the item's weight that a passage covers, and one threshold
 largest impact for every block it occurs in. A passage whose terms' block maxima stay below the threshold can't hold an item of that block; terms
 are taken rarest first and the common ones, whose maxima together can't reach what is missing, are only read for blocks that are still open. Nothing above the threshold is lost.
 
-Words are runs of letters and digits, lower-cased, so punctuation glued to a leaked passage hides nothing.
+Words are runs of letters and digits of the lower-cased text, so punctuation glued to a leaked passage hides nothing.
 
 A retrieved item is verified on word 5-shingles: an item's text is its question and, from its last sentence on, its answer. It is reported if the document holds at least
 ``min_overlap`` of all its shingles and at least ``min_part`` of those of the question and of the answer each (a part of fewer than 5 words is joined to the other one).
@@ -47,7 +47,7 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]):
         items = [(i, t) for i, t in items if t and t.split()]
         self.ids = np.array([i for i, _ in items], np.int64)
-        texts = [t.encode() for _, t in items]
+        texts = [t.lower().encode() for _, t in items]
         buf, start = join_texts(texts)
         h, owner, _, _ = words(buf, start, True)
         n = len(items)
@@ -81,7 +81,7 @@ class Index:
             rest, common[t] = add, True
         self.common, self.common_max = common, rest
         parts = [split_item(t) for _, t in items]
-        flat = [p.encode() for q in parts for p in q]
+        flat = [p.lower().encode() for q in parts for p in q]
         sh, so = shingles(*words(*join_texts(flat), True)[:2], len(flat), SHINGLE) if flat else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         self.parts = [sh[so == k] for k in range(len(flat))]
         # A quick test for terms: 2^18 places of the hash.
@@ -198,7 +198,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, threshold: float =
 
         def find(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for ids, texts in text_batches(batches, 2 << 20):
-                found = scan(index.value, texts, threshold, min_overlap)
+                found = scan(index.value, [t.decode().lower().encode() for t in texts], threshold, min_overlap)
                 yield record({"doc_id": pa.array([ids[t] for t, *_ in found], pa.int64()), "item_id": pa.array([int(index.value.ids[i]) for _, i, *_ in found], pa.int64()), **{name: pa.array([x[k] for x in found], pa.float64()) for k, name in ((2, "score"), (3, "question_overlap"), (4, "answer_overlap"))}})
 
         hits = docs.select("doc_id", "text").mapInArrow(find, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
