@@ -179,9 +179,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, max_train: int = 2000) -
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, max_train: int = 2000) -> DataFrame:
-    """Rows of docs, all columns, that are predicted good."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, max_train))
+def keep_good(docs: DataFrame, labels: DataFrame, max_train: int = 2000, train_on: DataFrame | None = None) -> DataFrame:
+    """Rows of docs, all columns, that are predicted good; the labelled texts come from train_on (docs if none is given)."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs if train_on is None else train_on, labels, max_train))
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
