@@ -62,9 +62,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shuffle_buckets(spark: SparkSession, per_core: int = 2) -> int:
+def shuffle_buckets(spark: SparkSession, per_core: int = 2, least: int = 8) -> int:
     """Buckets for packed blobs: as many as the session's shuffle partitions, which the user sizes for the input."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")) * per_core, 8)
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")) * per_core, least)
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:

@@ -300,7 +300,8 @@ def jaccard_components(docs: DataFrame, words_n: int = 5, num: int = 80, den: in
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.where("doc_id is not null").select("doc_id", "text")
-    buckets = shuffle_buckets(spark)
+    # Two near copies meet in every bucket that holds one of their common keys, so with few buckets the edges of a document would grow with their number.
+    buckets = shuffle_buckets(spark, least=256)
     first = scratch.save(docs.mapInArrow(_first_pass(words_n, num, den, buckets), _PASS1), "first", "kind")
     stars = first.where("kind = 1").select("bucket", "keys", "ids").groupBy("bucket").applyInArrow(_stars, "a long, b long")
     near = scratch.save(stars.union(first.where("kind = 2").select(F.col("doc_id").alias("a"), F.col("other").alias("b"))), "near")
