@@ -1,11 +1,511 @@
-"""Registered queries of the graph operators."""
+"""Registered queries of the graph operators, each with the SQL that says the same where SQL can."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalar
+from ..operators import diffusion, edges, export, flows, hierarchy, permute, stats
+from ..operators.edges import EdgeTest
+from ..sources import graphs
+from ..tables import settle
+
+#: Restart probability and rounds of the registered walks.
+RESTART, ROUNDS = 0.4, 8
+
+_E = """e AS (SELECT s_nationkey::BIGINT AS src, c_nationkey::BIGINT AS dst, round(sum(l_extendedprice * (1 - l_discount)), 2) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE s_nationkey <> c_nationkey GROUP BY 1, 2)"""
+_V = """v AS (SELECT n_nationkey::BIGINT AS vertex, n_regionkey AS region, coalesce(x, 0) AS weight FROM nation LEFT JOIN (SELECT c_nationkey, round(sum(o_totalprice), 2) AS x FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1) ON n_nationkey = c_nationkey)"""
+_T = "t AS (SELECT quantile_cont(w, 0.7) AS t FROM e)"
+_TARJAN = "g(src, dst, w) AS (VALUES " + ", ".join(f"({a}::BIGINT, {b}::BIGINT, {w}::DOUBLE)" for a, b, w in graphs.TARJAN) + ")"
+_STEP = "st AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS w FROM e)"
+
+
+def _walk_sql() -> str:
+    """The walk after ROUNDS rounds, as a chain of tables x0, x1, ..."""
+    ident = f"SELECT vertex AS src, vertex AS dst, {RESTART}::DOUBLE AS w FROM v"
+    chain = [f"x0 AS MATERIALIZED ({ident})"]
+    for k in range(ROUNDS):
+        chain.append(f"x{k + 1} AS MATERIALIZED (SELECT src, dst, sum(w) AS w FROM ({ident} UNION ALL SELECT x.src, st.dst, x.w * st.w * {1 - RESTART} FROM x{k} x JOIN st ON x.dst = st.src) GROUP BY 1, 2)")
+    return ", ".join(chain)
+
+
+_SCC = """th AS (SELECT DISTINCT w t FROM {e}), rr(t, s, d) AS (SELECT t, vertex, vertex FROM th, {v} UNION SELECT rr.t, rr.s, q.dst FROM rr JOIN {e} q ON q.src = rr.d AND q.w >= rr.t),
+lab AS (SELECT a.t, a.s AS vertex, min(a.d) AS component FROM rr a JOIN rr b ON a.t = b.t AND a.s = b.d AND a.d = b.s GROUP BY 1, 2),
+sig AS (SELECT t, string_agg(component, ',' ORDER BY vertex) AS s FROM lab GROUP BY t),
+tt AS (SELECT t FROM (SELECT t, s, lead(s) OVER (ORDER BY t) AS n FROM sig) WHERE s IS DISTINCT FROM coalesce(n, (SELECT string_agg(vertex, ',' ORDER BY vertex) FROM {v})))"""
+_TV = "tv AS (SELECT range AS vertex FROM range(1, 8))"
+
+
+def _nation(spark, d):
+    return graphs.nation_trade(spark, d), graphs.nations(spark, d)
+
+
+def _threshold(e: DataFrame, q: float = 0.7) -> float:
+    return e.agg(F.percentile("w", q)).first()[0]
+
+
+def _round(df: DataFrame, *columns: str, digits: int = 9) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """component, nvertices of the walk over the nation trade graph, cut at its 0.7 quantile."""
+    e, v = _nation(spark, d)
+    walk = settle(diffusion.random_walk(diffusion.stepmatrix(e), v, RESTART))
+    merge = hierarchy.merge_table(walk.where("src <> dst"))
+    return hierarchy.cut(merge, v, _threshold(walk.where("src <> dst"))).groupBy("component").agg(F.count("*").alias("nvertices"))
+
+
+def _regions(v: DataFrame, k: int) -> DataFrame:
+    return v.where(F.col("region") == k).select("vertex")
+
+
+QUERIES: dict = {}
+ORACLES: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+@query("import_digraph", "WITH raw AS (SELECT event_type AS s, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events), c AS (SELECT s, d, count(*)::DOUBLE AS w FROM raw WHERE d IS NOT NULL GROUP BY 1, 2), n AS (SELECT label, row_number() OVER (ORDER BY label) AS id FROM (SELECT s AS label FROM c UNION SELECT d FROM c)) SELECT a.id AS src, b.id AS dst, w, a.label AS src_label FROM c JOIN n a ON s = a.label JOIN n b ON d = b.label")
+def _import(spark, d):
+    e, nodes = edges.import_digraph(graphs.event_transitions(spark, d), "src_label", "dst_label")
+    return e.join(nodes.select(F.col("vertex").alias("src"), F.col("label").alias("src_label")), "src").select("src", "dst", "w", "src_label")
+
+
+@query("tarjan_graph", f"WITH {_TARJAN} SELECT * FROM g")
+def _tarjan(spark, d):
+    return graphs.tarjan_graph(spark)
+
+
+@query("example_graph", "WITH v AS (SELECT range AS i FROM range(1, 9)), h AS (SELECT a.i AS src, b.i AS dst FROM v a JOIN v b ON a.i < b.i UNION ALL SELECT i + 8, i % 8 + 9 FROM v UNION ALL SELECT i + 8, (i + 1) % 8 + 9 FROM v UNION ALL SELECT i + 16, i % 8 + 17 FROM v UNION ALL SELECT 25, unnest([1, 9, 17])) SELECT src, dst, 1.0::DOUBLE AS w FROM h UNION ALL SELECT dst, src, 1.0 FROM h")
+def _example(spark, d):
+    return graphs.example_graph(spark)
+
+
+@query("outedges", f"WITH {_E}, {_T} SELECT dst, w FROM e, t WHERE src = 3 AND w <> 0 AND w >= t")
+def _out(spark, d):
+    e = graphs.nation_trade(spark, d)
+    return edges.outedges(e, 3, EdgeTest(_threshold(e)))
+
+
+@query("outedges_sparse", "SELECT l_partkey AS dst, sum(l_quantity)::DOUBLE AS w FROM lineitem WHERE l_suppkey = 3 GROUP BY 1 HAVING sum(l_quantity) >= 40")
+def _out_sparse(spark, d):
+    return edges.outedges_sparse(graphs.supplier_parts(spark, d), 3, EdgeTest(40.0))
+
+
+@query("edge_filter", "WITH s AS (SELECT l_suppkey AS src, l_partkey AS dst, sum(l_quantity)::DOUBLE AS w FROM lineitem GROUP BY 1, 2) SELECT * FROM s WHERE w >= 60")
+def _edge_filter(spark, d):
+    return graphs.supplier_parts(spark, d).where(EdgeTest(60.0).valid(F.col("w")))
+
+
+@query("isindexed", f"WITH {_E}, {_T} SELECT src, dst, w FROM e, t WHERE w <> 0 AND w <= t")
+def _indexed(spark, d):
+    e = graphs.nation_trade(spark, d)
+    return e.where(EdgeTest(_threshold(e)).indexed(F.col("w")))
+
+
+@query("isweaker", f"WITH {_E} SELECT a.src, a.dst, a.w < b.w AS weaker, a.w > b.w AS weaker_rev FROM e a JOIN e b ON a.src = b.dst AND a.dst = b.src")
+def _weaker(spark, d):
+    e = graphs.nation_trade(spark, d)
+    b = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("w").alias("b"))
+    return e.join(b, ["src", "dst"]).select("src", "dst", edges.isweaker(F.col("w"), F.col("b")).alias("weaker"), edges.isweaker(F.col("w"), F.col("b"), True).alias("weaker_rev"))
+
+
+@query("induced_subgraph", f"WITH {_E}, {_V} SELECT src, dst, w FROM e WHERE src IN (SELECT vertex FROM v WHERE region < 2) AND dst IN (SELECT vertex FROM v WHERE region < 2)")
+def _induced(spark, d):
+    e, v = _nation(spark, d)
+    return edges.induced_subgraph(e, v.where("region < 2"))
+
+
+@query("sorted_values", "SELECT DISTINCT sum(l_quantity)::DOUBLE AS w FROM lineitem GROUP BY l_suppkey, l_partkey")
+def _sorted(spark, d):
+    return edges.sorted_values(graphs.supplier_parts(spark, d))
+
+
+@query("index_values", "WITH s AS (SELECT l_suppkey AS src, l_partkey AS dst, sum(l_quantity)::DOUBLE AS w FROM lineitem GROUP BY 1, 2) SELECT src, dst, w, dense_rank() OVER (ORDER BY w)::INT AS rank FROM s")
+def _index(spark, d):
+    return edges.index_values(graphs.supplier_parts(spark, d))
+
+
+@query("condense", "WITH s AS (SELECT l_suppkey AS src, l_partkey AS dst, sum(l_quantity)::DOUBLE AS w FROM lineitem GROUP BY 1, 2) SELECT s_nationkey::BIGINT AS src_part, p_brand AS dst_part, max(w) AS w FROM s JOIN supplier ON src = s_suppkey JOIN part ON dst = p_partkey GROUP BY 1, 2")
+def _condense(spark, d):
+    parts = graphs.table(spark, d, "part").select(F.col("p_partkey").alias("vertex"), F.col("p_brand").alias("part"))
+    sups = graphs.table(spark, d, "supplier").select(F.col("s_suppkey").alias("vertex"), F.col("s_nationkey").cast("long").alias("part"))
+    return edges.condense(graphs.supplier_parts(spark, d), parts, sups)
+
+
+@query("neighborhood_weights", f"WITH {_E}, {_V}, {_T} SELECT vertex, round(coalesce(x, 0), 2) AS weight FROM v LEFT JOIN (SELECT src, sum(w) AS x FROM e, t WHERE w >= t GROUP BY 1) ON vertex = src")
+def _neighbors(spark, d):
+    e, v = _nation(spark, d)
+    return _round(edges.neighborhood_weights(e, e.where(F.col("w") >= _threshold(e)), v), "weight", digits=2)
+
+
+@query("diedge_stats_full", f"WITH {_TARJAN} SELECT (s.range - 1) * 7 + t.range AS diedge, s.range AS src, t.range AS dest, coalesce(w, 0) AS w FROM range(1, 8) s CROSS JOIN range(1, 8) t LEFT JOIN g ON src = s.range AND dst = t.range")
+def _full(spark, d):
+    return edges.all_pairs(graphs.tarjan_graph(spark), 7)
+
+
+@query("stepmatrix", f"WITH {_E}, {_V}, f AS (SELECT src, dst, e.w * v.weight AS w FROM e JOIN v ON dst = vertex) SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 9) AS w FROM f")
+def _step(spark, d):
+    e, v = _nation(spark, d)
+    return _round(diffusion.stepmatrix(e, v), "w")
+
+
+@query("random_walk", f"WITH {_E}, {_V}, {_STEP}, {_walk_sql()} SELECT src, dst, round(w, 9) AS w FROM x{ROUNDS}")
+def _walk(spark, d):
+    e, v = _nation(spark, d)
+    return _round(diffusion.random_walk_rounds(settle(diffusion.stepmatrix(e)), v, RESTART, ROUNDS), "w")
+
+
+@query("random_walk_exact")
+def _walk_exact(spark, d):
+    e, v = _nation(spark, d)
+    return _round(diffusion.random_walk(diffusion.stepmatrix(e), v, RESTART), "w")
+
+
+@query("diffused_weights", f"WITH {_E}, {_V}, {_STEP}, {_walk_sql()} SELECT dst AS vertex, round(sum(x.w * v.weight), 2) AS weight FROM x{ROUNDS} x JOIN v ON x.src = v.vertex GROUP BY 1")
+def _diffused(spark, d):
+    e, v = _nation(spark, d)
+    return _round(diffusion.diffused_weights(diffusion.random_walk_rounds(settle(diffusion.stepmatrix(e)), v, RESTART, ROUNDS), v), "weight", digits=2)
+
+
+@query("similarity", f"WITH {_E}, {_V}, {_STEP}, {_walk_sql()} SELECT x.src, x.dst, round(x.w * v.weight, 2) AS w FROM x{ROUNDS} x JOIN v ON x.src = v.vertex")
+def _similar(spark, d):
+    e, v = _nation(spark, d)
+    return _round(diffusion.similarity(diffusion.random_walk_rounds(settle(diffusion.stepmatrix(e)), v, RESTART, ROUNDS), v), "w", digits=2)
+
+
+@query("stabilized_step", f"WITH {_E}, {_V}, {_STEP}, {_walk_sql()}, wx AS (SELECT dst AS vertex, sum(x.w * v.weight) AS x FROM x{ROUNDS} x JOIN v ON x.src = v.vertex GROUP BY 1), k AS (SELECT (SELECT sum(weight) FROM v) / (SELECT sum(x) FROM wx) AS k) SELECT src, dst, round(sum(w), 2) AS w FROM (SELECT st.src, st.dst, st.w * wx.x * k.k * {1 - RESTART} AS w FROM st JOIN wx ON st.src = wx.vertex, k UNION ALL SELECT vertex, vertex, weight * {RESTART} FROM v) GROUP BY 1, 2")
+def _stabilized(spark, d):
+    e, v = _nation(spark, d)
+    step = settle(diffusion.stepmatrix(e))
+    return _round(diffusion.stabilized_step(step, settle(diffusion.random_walk_rounds(step, v, RESTART, ROUNDS)), v, RESTART), "w", digits=2)
+
+
+@query("scc", f"WITH RECURSIVE {_E}, {_V}, {_T}, r(s, d) AS (SELECT vertex, vertex FROM v UNION SELECT r.s, e.dst FROM r JOIN e ON e.src = r.d JOIN t ON e.w >= t.t) SELECT min(a.d) AS component, a.s AS vertex FROM r a JOIN r b ON a.s = b.d AND a.d = b.s GROUP BY a.s")
+def _scc(spark, d):
+    e, v = _nation(spark, d)
+    return hierarchy.scc(e, v, EdgeTest(_threshold(e)))
+
+
+@query("scc_thresholds", f"WITH RECURSIVE {_E}, {_V}, {_SCC.format(e='e', v='v')} SELECT t AS threshold FROM tt")
+def _thresholds(spark, d):
+    e, v = _nation(spark, d)
+    return hierarchy.thresholds(hierarchy.merge_table(e))
+
+
+@query("cut", f"WITH RECURSIVE {_E}, {_V}, {_SCC.format(e='e', v='v')} SELECT t AS threshold, component, vertex FROM lab WHERE t IN (SELECT t FROM tt)")
+def _cut(spark, d):
+    e, v = _nation(spark, d)
+    merge = hierarchy.merge_table(e)
+    return hierarchy.cuts(merge, v, hierarchy.thresholds(merge))
+
+
+@query("scc_tree", f"WITH RECURSIVE {_E}, {_V}, {_SCC.format(e='e', v='v')}, s AS (SELECT t, component, list_sort(list(vertex)) AS vs FROM lab WHERE t IN (SELECT t FROM tt) GROUP BY 1, 2 HAVING count(*) > 1), n AS (SELECT vs, max(t) AS threshold FROM s GROUP BY 1) SELECT threshold, len(vs)::INT AS nvertices, array_to_string(vs, ',') AS vertices FROM n UNION ALL SELECT NULL, count(*)::INT, string_agg(vertex, ',' ORDER BY vertex) FROM v HAVING NOT EXISTS (SELECT 1 FROM n WHERE len(vs) = (SELECT count(*) FROM v))")
+def _tree(spark, d):
+    e, v = _nation(spark, d)
+    return hierarchy.tree(hierarchy.merge_table(e), v).select("threshold", "nvertices", F.array_join("vertices", ",").alias("vertices"))
+
+
+@query("tree_vertices")
+def _tree_vertices(spark, d):
+    e, v = _nation(spark, d)
+    return hierarchy.tree(hierarchy.merge_table(e), v).select("node", "parent", F.explode("vertices").alias("vertex"))
+
+
+@query("treecut_stats", f"WITH RECURSIVE {_E}, {_V}, {_SCC.format(e='e', v='v')}, z AS (SELECT t, component, count(*) AS size, count(*) FILTER (region = 0) AS a, count(*) FILTER (region = 1) AS b FROM lab JOIN v USING (vertex) WHERE t IN (SELECT t FROM tt) GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY size DESC, component) AS rn FROM z) SELECT t AS threshold, count(*) AS ncomponents, count(*) FILTER (size > 1) AS ncomponents_nontrivial, max(size) AS maxcomponent_size, sum(size) FILTER (rn <= 5)::BIGINT AS topn_components_sizesum, count(*) FILTER (a > 0) AS ncompsources, sum(a) FILTER (rn <= 5)::BIGINT AS topn_nsources, count(*) FILTER (b > 0) AS ncompsinks, sum(b) FILTER (rn <= 5)::BIGINT AS topn_nsinks FROM k GROUP BY 1")
+def _treecut(spark, d):
+    e, v = _nation(spark, d)
+    return stats.treecut_stats(hierarchy.merge_table(e), v, sources=_regions(v, 0), sinks=_regions(v, 1)).drop("log10_maxcomponent_size", "log10_topn_components_sizesum")
+
+
+def _flow_input(spark, d):
+    e, v = _nation(spark, d)
+    merge = hierarchy.merge_table(e)
+    return e, v, merge, settle(hierarchy.cuts(merge, v, hierarchy.thresholds(merge))), _regions(v, 0), _regions(v, 1)
+
+
+#: Levels of the unrolled flow oracle: more than any flow here has.
+_LEVELS = 8
+
+
+def _flow_sql() -> str:
+    levels = ["l0 AS (SELECT DISTINCT c.t, c.component AS s, c.component AS node, 0 AS len, coalesce(ce.w, 0) AS mw FROM c JOIN v ON c.vertex = v.vertex AND v.region = 0 LEFT JOIN ce ON ce.t = c.t AND ce.a = c.component AND ce.b = c.component)"]
+    for k in range(1, _LEVELS + 1):
+        seen = " UNION ALL ".join(f"SELECT t, s, node FROM l{j}" for j in range(k))
+        best = "ce.w" if k == 1 else "least(l.mw, ce.w)"
+        levels.append(f"l{k} AS MATERIALIZED (SELECT l.t, l.s, ce.b AS node, {k} AS len, max({best}) AS mw FROM l{k - 1} l JOIN ce ON ce.t = l.t AND ce.a = l.node AND ce.a <> ce.b WHERE (l.t, l.s, ce.b) NOT IN (SELECT (t, s, node) FROM ({seen})) GROUP BY 1, 2, 3)")
+    return (
+        f"{_E}, {_V}, {_SCC.format(e='e', v='v')}, c AS MATERIALIZED (SELECT * FROM lab WHERE t IN (SELECT t FROM tt)), ce AS MATERIALIZED (SELECT a.t, a.component AS a, b.component AS b, max(e.w) AS w FROM c a JOIN e ON e.src = a.vertex AND e.w >= a.t JOIN c b ON b.t = a.t AND b.vertex = e.dst GROUP BY 1, 2, 3), "
+        + ", ".join(levels)
+        + ", fl AS (SELECT f.*, (SELECT count(*) FROM c JOIN v USING (vertex) WHERE c.t = f.t AND c.component = f.s AND region = 0) AS ns, (SELECT count(*) FROM c JOIN v USING (vertex) WHERE c.t = f.t AND c.component = f.node AND region = 1) AS nt FROM ("
+        + " UNION ALL ".join(f"SELECT * FROM l{k}" for k in range(_LEVELS + 1))
+        + ") f), flows AS (SELECT t AS threshold, s AS src_comp, node AS dst_comp, len, mw AS minweight, ns AS n_src, nt AS n_dst FROM fl WHERE nt > 0)"
+    )
+
+
+@query("component_flows", f"WITH RECURSIVE {_flow_sql()} SELECT * FROM flows")
+def _component_flows(spark, d):
+    e, v, merge, cut, a, b = _flow_input(spark, d)
+    return flows.component_flows(cut, e, a, b)
+
+
+@query("vertex_flows", f"WITH RECURSIVE {_flow_sql()} SELECT f.threshold, a.vertex AS source, b.vertex AS target, src_comp, dst_comp, len, minweight FROM flows f JOIN c ca ON ca.t = threshold AND ca.component = src_comp JOIN v a ON a.vertex = ca.vertex AND a.region = 0 JOIN c cb ON cb.t = threshold AND cb.component = dst_comp JOIN v b ON b.vertex = cb.vertex AND b.region = 1")
+def _vertex_flows(spark, d):
+    e, v, merge, cut, a, b = _flow_input(spark, d)
+    return flows.vertex_flows(cut, flows.component_flows(cut, e, a, b), a, b)
+
+
+@query("flowstats", f"WITH RECURSIVE {_flow_sql()} SELECT threshold, sum(n_src * n_dst)::BIGINT AS nflows, count(*) AS ncompflows, sum(len * n_src * n_dst)::BIGINT AS flowlen_sum, round(sum(n_src * n_dst / (len + 1.0::DOUBLE)), 9) AS flowinvlen_sum, max(len) AS compflowlen_max, round(sum(minweight * n_src * n_dst), 2) AS flow_minedgeweight_sum, round(sum(minweight), 2) AS compflow_minedgeweight_sum FROM flows GROUP BY 1")
+def _flowstats(spark, d):
+    e, v, merge, cut, a, b = _flow_input(spark, d)
+    out = flows.flowstats(cut, flows.component_flows(cut, e, a, b), a, b).where("nflows is not null")
+    out = out.select("threshold", "nflows", "ncompflows", "flowlen_sum", F.round("flowinvlen_sum", 9).alias("flowinvlen_sum"), "compflowlen_max", F.round("flow_minedgeweight_sum", 2).alias("flow_minedgeweight_sum"), F.round("compflow_minedgeweight_sum", 2).alias("compflow_minedgeweight_sum"))
+    return out
+
+
+@query("flow_subgraph")
+def _subgraph(spark, d):
+    e, v, merge, cut, a, b = _flow_input(spark, d)
+    return flows.flow_subgraph(cut, e, a, b)
+
+
+@query("treecut_flow_stats")
+def _treecut_flows(spark, d):
+    e, v, merge, cut, a, b = _flow_input(spark, d)
+    return stats.treecut_stats(merge, v, e, a, b, e)
+
+
+@query("flows_all_thresholds", f"WITH RECURSIVE {_flow_sql()} SELECT threshold, count(*) AS n, max(len) AS longest FROM flows GROUP BY 1")
+def _all_flows(spark, d):
+    e, v, merge, cut, a, b = _flow_input(spark, d)
+    return flows.component_flows(cut, e, a, b).groupBy("threshold").agg(F.count("*").alias("n"), F.max("len").alias("longest"))
+
+
+@query("traceflows", f"WITH {_E}, {_V}, {_T}, s AS (SELECT src, dst FROM e, t WHERE w >= t), p AS (SELECT src AS source, dst AS target, '' AS path FROM s UNION ALL SELECT a.src, b.dst, a.dst::VARCHAR FROM s a JOIN s b ON a.dst = b.src AND b.dst <> a.src) SELECT source, target, path FROM p JOIN s ON source = src AND target = dst JOIN v x ON x.vertex = source AND x.region = 0 JOIN v y ON y.vertex = target AND y.region = 1")
+def _trace(spark, d):
+    e, v = _nation(spark, d)
+    test = EdgeTest(_threshold(e))
+    return flows.trace_flows(e, e, _regions(v, 0), _regions(v, 1), test, test).select("source", "target", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
+
+
+@query("vertexbins_sort", f"WITH {_E}, {_V}, g AS (SELECT vertex, coalesce((SELECT sum(w) FROM e WHERE src = vertex), 0) AS o FROM v) SELECT vertex, (floor((row_number() OVER (ORDER BY o DESC, vertex) - 1) / 5) + 1)::INT AS bin FROM g")
+def _bins(spark, d):
+    e, v = _nation(spark, d)
+    return permute.vertexbins_sort(e, v, "out", 5)
+
+
+@query("vertexbins_hilbert")
+def _bins_both(spark, d):
+    e, v = _nation(spark, d)
+    return permute.vertexbins_sort(e, v, "outXin", 5)
+
+
+@query("vertexbins_tree")
+def _bins_tree(spark, d):
+    e, v = _nation(spark, d)
+    return permute.vertexbins_tree(e, v, "outXin", 5)
+
+
+@query("randpermgroups")
+def _perm(spark, d):
+    e, v = _nation(spark, d)
+    return permute.randpermgroups(permute.vertexbins_sort(e, v, "out", 5), 20)
+
+
+def _perms(spark, d):
+    """Order months stand for permutations of a nation's weight."""
+    o = graphs.table(spark, d, "orders").join(graphs.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return settle(o.groupBy(F.month("o_orderdate").alias("perm"), F.col("c_nationkey").cast("long").alias("vertex")).agg(F.round(F.sum("o_totalprice") * 12, 2).alias("weight")))
+
+
+_P = "p AS (SELECT month(o_orderdate) AS perm, c_nationkey::BIGINT AS vertex, round(sum(o_totalprice) * 12, 2) AS p FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)"
+_PERM_STATS = "m AS (SELECT vertex, median(p) AS mid FROM p GROUP BY 1) SELECT vertex, any_value(weight) AS weight, round(avg(p), 2) AS permweight_mean, round(stddev_samp(p), 2) AS permweight_std, round(any_value(mid), 2) AS permweight_median, round(median(abs(p - mid)) * 1.4826, 2) AS permweight_mad, count(*) FILTER (p > weight) AS nless_weight, count(*) FILTER (p < weight) AS ngreater_weight, round(any_value(weight) - any_value(mid), 2) AS weight_delta FROM p JOIN v USING (vertex) JOIN m USING (vertex) GROUP BY 1"
+_MONEY = ["permweight_mean", "permweight_std", "permweight_median", "permweight_mad", "weight_delta"]
+
+
+@query("permweight_stats", f"WITH {_V}, {_P}, {_PERM_STATS}")
+def _permweight(spark, d):
+    return _round(stats.permweight_stats(graphs.nations(spark, d), _perms(spark, d), ["vertex"]), *_MONEY, digits=2)
+
+
+@query("vertex_stats", f"WITH {_V}, {_P}, q AS (WITH {_PERM_STATS}) SELECT v.vertex, v.weight, v.weight * 2 AS walkweight, q.* EXCLUDE (vertex, weight) FROM v LEFT JOIN q USING (vertex)")
+def _vertex_stats(spark, d):
+    v = graphs.nations(spark, d)
+    return _round(stats.vertex_stats(v, v.select("vertex", (F.col("weight") * 2).alias("walkweight")), _perms(spark, d)), *_MONEY, digits=2)
+
+
+@query("diedge_stats", f"WITH {_E}, q AS (SELECT month(l_shipdate) AS perm, s_nationkey::BIGINT AS src, c_nationkey::BIGINT AS dest, round(sum(l_extendedprice) * 12, 2) AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2, 3) SELECT e.src, e.dst AS dest, any_value(w) AS walkweight, round(avg(p), 2) AS mean, round(median(p), 2) AS median, count(*) FILTER (p > w) AS nless, count(*) FILTER (p < w) AS ngreater FROM e JOIN q ON q.src = e.src AND q.dest = e.dst GROUP BY 1, 2")
+def _diedge(spark, d):
+    read = lambda name: graphs.table(spark, d, name)
+    rows = read("lineitem").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(read("customer"), F.col("o_custkey") == F.col("c_custkey")).join(read("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    perms = rows.groupBy(F.month("l_shipdate").alias("perm"), F.col("s_nationkey").cast("long").alias("src"), F.col("c_nationkey").cast("long").alias("dest")).agg(F.round(F.sum("l_extendedprice") * 12, 2).alias("walkweight"))
+    real = graphs.nation_trade(spark, d).select("src", F.col("dst").alias("dest"), F.col("w").alias("walkweight"))
+    out = stats.diedge_stats(real, perms)
+    return out.select("src", "dest", "walkweight", F.round("permwalkweight_mean", 2).alias("mean"), F.round("permwalkweight_median", 2).alias("median"), F.col("nless_walkweight").alias("nless"), F.col("ngreater_walkweight").alias("ngreater"))
+
+
+@query("component_stats", "WITH v AS (SELECT n_regionkey AS component, count(*) AS nvertices FROM nation GROUP BY 1) SELECT component::BIGINT AS component, nvertices FROM v")
+def _component_stats(spark, d):
+    v = graphs.nations(spark, d)
+    return stats.component_stats(v.select(F.col("region").cast("long").alias("component"), "vertex"))
+
+
+@query("component_pvalues")
+def _component_pvalues(spark, d):
+    v = graphs.nations(spark, d)
+    cut = v.select(F.col("region").cast("long").alias("component"), "vertex")
+    rows = v.select("vertex", "weight", F.col("weight").alias("walkweight"), (F.col("weight") >= F.lit(_threshold(v.withColumnRenamed("weight", "w")))).alias("is_hit"))
+    perms = _perms(spark, d).select("perm", "vertex", "weight", F.col("weight").alias("walkweight"))
+    return stats.component_stats(cut, rows, perms)
+
+
+@query("treecut_compstats")
+def _compstats(spark, d):
+    e, v, merge, cut, a, b = _flow_input(spark, d)
+    hit = v.select("vertex", (F.col("weight") >= F.lit(_threshold(v.withColumnRenamed("weight", "w"), 0.5))).cast("int").alias("hit"))
+    per = cut.join(hit, "vertex").groupBy("threshold", "component").agg(F.count("*").alias("nvertices"), F.sum("hit").alias("nhits"))
+    total = hit.agg(F.sum("hit"), F.count("*")).first()
+    return stats.treecut_compstats(cut, per.withColumn("pvalue_fisher", scalar.fisher_pvalue(F.col("nhits"), F.col("nvertices"), F.lit(total[0]), F.lit(total[1]))), 0.5)
+
+
+def _binned(spark, d):
+    """Months as replicas: thresholds are a customer's order prices, metrics their counts and values by month."""
+    o = graphs.table(spark, d, "orders").select(F.month("o_orderdate").alias("perm"), F.floor(F.col("o_totalprice") / 1000).cast("double").alias("threshold"), "o_totalprice")
+    rows = o.groupBy("perm", "threshold").agg(F.count("*").alias("ncomponents"), F.round(F.max("o_totalprice"), 2).alias("maxcomponent_size"))
+    return settle(rows)
+
+
+@query("bin_treecut_stats")
+def _bin(spark, d):
+    return stats.bin_treecut_stats(_binned(spark, d), ["perm"], 20)
+
+
+@query("add_bins", "WITH r AS (SELECT month(o_orderdate) AS perm, floor(o_totalprice / 1000)::DOUBLE AS threshold, count(*) AS n FROM orders GROUP BY 1, 2) SELECT perm, threshold, n, len(list_filter([50, 100, 200, 400], lambda b: b <= threshold))::INT AS threshold_bin FROM r")
+def _add_bins(spark, d):
+    return stats.add_bins(_binned(spark, d).select("perm", "threshold", F.col("ncomponents").alias("n")), [50, 100, 200, 400])
+
+
+@query("aggregate_binstats", "WITH r AS (SELECT month(o_orderdate) AS perm, floor(o_totalprice / 1000)::DOUBLE AS threshold, count(*) AS n FROM orders GROUP BY 1, 2), b AS (SELECT *, len(list_filter([50, 100, 200, 400], lambda b: b <= threshold))::INT AS threshold_bin FROM r), q AS (SELECT threshold_bin, quantile_cont(n, [0.25, 0.5, 0.75]) AS x FROM b GROUP BY 1) SELECT threshold_bin, unnest([0.25, 0.5, 0.75])::DOUBLE AS quantile, round(unnest(x), 9) AS ncomponents FROM q")
+def _aggregate(spark, d):
+    b = stats.add_bins(_binned(spark, d), [50, 100, 200, 400]).withColumn("threshold_binmid", F.lit(None).cast("double"))
+    return _round(stats.aggregate_binstats(b, quantiles=(0.25, 0.75), columns=["ncomponents"]).select("threshold_bin", "quantile", "ncomponents"), "ncomponents")
+
+
+@query("extreme_treecut_stats")
+def _extreme(spark, d):
+    rows = _binned(spark, d)
+    bounds = stats.threshold_bins([r.threshold for r in rows.select("threshold").distinct().collect()], 20)
+    binned = settle(stats.bin_treecut_stats(rows.where("perm > 1"), ["perm"], 20))
+    return stats.extreme_treecut_stats(stats.add_bins(rows.where("perm = 1"), bounds), settle(stats.aggregate_binstats(binned)))
+
+
+@query("value_group_sizes", "SELECT r.range AS value, count(l_orderkey) AS n FROM range(1, 101) r LEFT JOIN lineitem ON l_quantity::BIGINT = r.range GROUP BY 1")
+def _sizes(spark, d):
+    return scalar.value_group_sizes(graphs.table(spark, d, "lineitem"), "l_quantity", 100)
+
+
+@query("value_groups", "SELECT r.range AS value, coalesce(string_agg(n_nationkey, ',' ORDER BY n_nationkey), '') AS places FROM range(1, 8) r LEFT JOIN nation ON n_regionkey = r.range GROUP BY 1")
+def _groups(spark, d):
+    out = scalar.value_groups(graphs.table(spark, d, "nation").withColumn("k", F.col("n_nationkey").cast("long")), "n_regionkey", "k", 7)
+    return out.select("value", F.array_join("places", ",").alias("places"))
+
+
+def _parts(spark, d):
+    n = graphs.table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list(F.col("n_nationkey").cast("int"))).alias("part"))
+    return n.select(F.floor(F.col("n_regionkey") / 3).cast("int").alias("g"), "part").groupBy("g").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+
+
+_PARTS = "n AS (SELECT n_regionkey, list_sort(list(n_nationkey::INT)) AS part FROM nation GROUP BY 1), q AS (SELECT (n_regionkey // 3)::INT AS g, list_sort(list(part)) AS parts FROM n GROUP BY 1)"
+
+
+@query("partition_ops", f"WITH {_PARTS} SELECT g, len(parts)::INT AS nparts, len(flatten(parts))::INT AS nelems, array_to_string(list_transform(parts, lambda p: len(p)), ',') AS lengths, array_to_string(flatten(parts), ',') AS elems FROM q")
+def _partition(spark, d):
+    return _parts(spark, d).select("g", F.size("parts").alias("nparts"), F.size(F.flatten("parts")).alias("nelems"), F.array_join(scalar.part_lengths(F.col("parts")).cast("array<string>"), ",").alias("lengths"), F.array_join(F.flatten("parts").cast("array<string>"), ",").alias("elems"))
+
+
+@query("partition_repeat", f"WITH {_PARTS} SELECT g, (len(parts) * 3)::INT AS nparts, array_to_string(flatten(list_concat(parts, parts, parts)), ',') AS elems FROM q")
+def _repeat(spark, d):
+    p = _parts(spark, d).withColumn("r", scalar.repeat_parts(F.col("parts"), 3))
+    return p.select("g", F.size("r").alias("nparts"), F.array_join(F.flatten("r").cast("array<string>"), ",").alias("elems"))
+
+
+@query("partition_reset", "SELECT n_regionkey AS k, array_to_string(range(1, n_nationkey + 1), ',') AS elems, n_nationkey::INT AS nparts FROM nation")
+def _reset(spark, d):
+    n = graphs.table(spark, d, "nation").select(F.col("n_regionkey").alias("k"), F.col("n_nationkey").cast("int").alias("n"))
+    return n.select("k", F.array_join(F.flatten(scalar.reset_parts(F.col("n"))).cast("array<string>"), ",").alias("elems"), F.size(scalar.reset_parts(F.col("n"))).alias("nparts"))
+
+
+@query("filter_parts", f"WITH {_PARTS} SELECT g, len(list_filter(parts, lambda p: list_sum(p) > 55))::INT AS kept FROM q")
+def _filter_parts(spark, d):
+    return _parts(spark, d).select("g", F.size(scalar.filter_parts(F.col("parts"), lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + x) > 55)).alias("kept"))
+
+
+@query("insert_sorted", f"WITH {_PARTS} SELECT g, array_to_string(list_sort(list_append(flatten(parts), 7)), ',') AS xs, len(list_distinct(list_append(flatten(parts), 7)))::INT AS n FROM q")
+def _insert(spark, d):
+    x = F.flatten("parts")
+    return _parts(spark, d).select("g", F.array_join(scalar.insert_sorted(x, F.lit(7)).cast("array<string>"), ",").alias("xs"), F.size(scalar.insert_sorted(x, F.lit(7), True)).alias("n"))
+
+
+@query("hilbert_order", "SELECT * FROM (VALUES (1, 1, 1), (1, 2, 2), (1, 3, 15), (1, 4, 16), (2, 1, 4), (2, 2, 3), (2, 3, 14), (2, 4, 13), (3, 1, 5), (3, 2, 8), (3, 3, 9), (3, 4, 12), (4, 1, 6), (4, 2, 7), (4, 3, 10), (4, 4, 11)) t(i, j, place)")
+def _hilbert(spark, d):
+    grid = spark.range(16).select((F.col("id") / 4 + 1).cast("int").alias("i"), (F.col("id") % 4 + 1).cast("int").alias("j"))
+    return grid.select("i", "j", scalar.hilbert_order(F.col("i"), F.col("j"), 4).alias("place"))
+
+
+@query("quantile_suffix", "SELECT * FROM (VALUES (0.025::DOUBLE, '025'), (0.25, '25'), (0.5, '50'), (0.75, '75'), (0.975, '975')) t(q, suffix)")
+def _suffix(spark, d):
+    return spark.createDataFrame([(q,) for q in (0.025, 0.25, 0.5, 0.75, 0.975)], "q double").select("q", scalar.quantile_suffix(F.col("q")).alias("suffix"))
+
+
+@query("ecdf", "WITH s AS (SELECT l_returnflag, l_quantity::DOUBLE AS value, count(*)::DOUBLE AS w FROM lineitem GROUP BY 1, 2) SELECT l_returnflag, value, round(sum(w) OVER (PARTITION BY l_returnflag ORDER BY value) / sum(w) OVER (PARTITION BY l_returnflag), 9) AS cdf FROM s")
+def _ecdf(spark, d):
+    rows = graphs.table(spark, d, "lineitem").select("l_returnflag", F.col("l_quantity").cast("double").alias("x"))
+    return _round(scalar.ecdf(rows, "x", by=["l_returnflag"]).select("l_returnflag", "value", "cdf"), "cdf")
+
+
+def _exported(name: str):
+    def run(spark, d):
+        e, v = _nation(spark, d)
+        return export.export_flowgraph(hierarchy.merge_table(e), e, v, _regions(v, 0), _regions(v, 1), _threshold(e), orig=e.select(F.col("src").alias("source"), F.col("dst").alias("target"), F.col("w").alias("weight")), steps=e, flowpaths="stepedges")[name]
+
+    return run
+
+
+for _name in ("components", "vertices", "diedges", "edges"):
+    query(f"export_{_name}")(_exported(_name))
+
+
+@query("flagship")
+def _flagship(spark, d):
+    return flagship(spark, d)
+
+
+@query("fisher_pvalue")
+def _fisher(spark, d):
+    rows = graphs.table(spark, d, "nation").groupBy("n_regionkey").agg(F.count("*").alias("n"), F.sum((F.col("n_nationkey") < 12).cast("int")).alias("hits"))
+    return rows.select("n_regionkey", F.round(scalar.fisher_pvalue(F.col("hits"), F.col("n"), F.lit(12), F.lit(25)), 9).alias("p"))
+
+
+@query("mannwhitney")
+def _mw(spark, d):
+    rows = graphs.table(spark, d, "lineitem").select("l_returnflag", "l_quantity", (F.col("l_linestatus") == "O").alias("real"))
+    return scalar.mannwhitney(rows, ["l_returnflag"], "l_quantity", "real")
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
