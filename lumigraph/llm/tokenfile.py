@@ -17,6 +17,7 @@ defaults have it); equal doc_ids follow each other in no special order; rows wit
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ CHUNK_BITS = 8
 RANK_STEP = 512
 SEGMENT_TOKENS = 1 << 20
 END_ID = 0
-#: Words kept with their ids in each Python worker.
+#: Pieces of texts kept with their ids in each Python worker.
 CACHE_WORDS = 400_000
 
 
@@ -106,11 +107,16 @@ class DacReader:
         return value
 
 
+#: The byte-level pre-tokenizer's pattern (a fixed, published value) for texts of Latin-1 signs, with its classes spelled out.
+_L, _N, _S = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \u0085\u00a0"
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_BEYOND = re.compile("[^\u0000-\u00ff]")
+
+
 class WordEncoder:
-    """Encodes texts through the tokenizer word by word, each different word once while it stays in a bounded cache.
+    """Encodes texts through the tokenizer piece by piece, each different piece once while it stays in a bounded cache.
 
-    The byte-level pre-tokenizer always begins a piece at a space that a non-space follows, so a text without two spaces in a row
-    and without a special string splits there into parts that are encoded alone as they are together. Other texts are encoded whole.
+    Byte-level BPE never merges across the pieces of its pre-tokenizer, so the pieces of a text are encoded alone as they are together. Texts with signs beyond Latin-1 or with a special string are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -118,31 +124,29 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.cache: dict[str, np.ndarray] = {}
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        out: list = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if "  " in t or any(m in t for m in self.marks)]
-        split = {i: (t[:1] == " ", t.split(" ")) for i, t in enumerate(texts) if t}
-        for i in whole:
-            split.pop(i, None)
-        fresh = {w for _, parts in split.values() for w in parts[1:]} | {"\0" + parts[0] for _, parts in split.values()}
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        cache = self.cache
-        fresh = [w for w in fresh if w not in cache]
-        # "\0" marks a first word, which has no space before it.
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast([w[1:] if w[:1] == "\0" else " " + w for w in fresh], add_special_tokens=False), strict=True):
-            cache[w] = e.ids
-        for i, (_, parts) in split.items():
-            ids = list(cache["\0" + parts[0]])
-            extend = ids.extend
-            for w in parts[1:]:
-                extend(cache[w])
-            out[i] = np.array(ids, np.uint32)
-        for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
-            out[i] = np.array(e.ids, np.uint32)
-        return [np.zeros(0, np.uint32) if x is None else x for x in out]
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.cache: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        for lo in range(0, len(texts), 1024):
+            for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 1024], add_special_tokens=False):
+                yield np.array(e.ids, self.kind).tobytes()
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text, packed in ``kind``."""
+        whole = [i for i, t in enumerate(texts) if _BEYOND.search(t) or any(m in t for m in self.marks)]
+        apart = set(whole)
+        split = {i: _PIECES.findall(t) for i, t in enumerate(texts) if i not in apart}
+        fresh = list(set().union(*split.values()).difference(self.cache)) if split else []
+        found = dict(zip(fresh, self.encode(fresh), strict=True))
+        full = len(self.cache) + len(found) > CACHE_WORDS  # then those seen first, the frequent ones, stay
+        self.cache.update(found)
+        out = {i: b"".join(map(self.cache.__getitem__, parts)) for i, parts in split.items()}
+        if full:
+            for piece in fresh:
+                del self.cache[piece]
+        out |= zip(whole, self.encode([texts[i] for i in whole]), strict=True)
+        return [out[i] for i in range(len(texts))]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -155,18 +159,17 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def encode_table(docs: DataFrame, path: str | None, end_id: int = END_ID) -> DataFrame:
-    """doc_id, n_tokens, ids (binary, u32 as u16 where all fit) of every row of docs (doc_id, text, bucket)."""
+    """doc_id, n_tokens, ids (binary: the width as a digit, then the ids) of every row of docs (doc_id, text, bucket)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = path or tokenizer_path()
         encoder = _encoders.get(where) or _encoders.setdefault(where, WordEncoder(where))
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 512):
-                part = encoder([t or "" for t in texts[lo : lo + 512]])
-                ids = [np.append(x, np.uint32(end_id)) for x in part]
-                blobs = [b"2" + x.astype("<u2").tobytes() if x.max() < 1 << 16 else b"4" + x.astype("<u4").tobytes() for x in ids]
-                yield record({"doc_id": batch.column(0).slice(lo, 512), "bucket": batch.column(2).slice(lo, 512), "n_tokens": pa.array([len(x) for x in ids], pa.int64()), "ids": pa.array(blobs, pa.binary())})
+            for lo in range(0, batch.num_rows, 256):
+                part = encoder([t or "" for t in batch.column(1).slice(lo, 256).to_pylist()])
+                width, end = encoder.kind.itemsize, np.array([end_id], encoder.kind).tobytes()
+                blobs = [b"%d" % width + x + end for x in part]
+                yield record({"doc_id": batch.column(0).slice(lo, 256), "bucket": batch.column(2).slice(lo, 256), "n_tokens": pa.array([len(x) // width for x in blobs], pa.int64()), "ids": pa.array(blobs, pa.binary())})
 
     return docs.mapInArrow(encode, "doc_id long, bucket int, n_tokens long, ids binary")
 
