@@ -58,7 +58,7 @@ class Index:
         self.terms, code = np.unique(term, return_inverse=True)
         df = np.bincount(code, minlength=len(self.terms))
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        impact = idf[code] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / max(length.mean(), 1)))
+        impact = idf[code] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / max(length.sum() / max(n, 1), 1)))
         impact = impact / np.bincount(item, impact, n)[item]
         order = np.lexsort((item, code))
         self.item, self.impact = item[order], impact[order]

@@ -99,7 +99,7 @@ def fit(rows: list[tuple[bytes, str]], landmarks: int = 192, ridge: float = 1e-2
 
 def train_rows(docs: DataFrame, per_lang: int) -> list[tuple[bytes, str]]:
     """At most per_lang rows of each language, whole texts, smallest hashes first."""
-    ok = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    ok = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h"))
     picked = ok.select("doc_id", "lang", F.xxhash64("text").alias("h")).withColumn("rank", rank).where(F.col("rank") <= per_lang).select("doc_id", "lang", "h", "rank").distinct()
     found = ok.withColumn("h", F.xxhash64("text")).join(F.broadcast(picked), ["doc_id", "lang", "h"]).select("lang", "rank", "text").collect()  # picked: per_lang rows a language

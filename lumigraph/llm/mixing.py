@@ -50,13 +50,14 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None) -> DataFrame
 def with_counts(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = SEED) -> DataFrame:
     """docs with mix_rate and mix_count."""
     steps = source_rates(docs, weights).withColumn("mix_steps", poisson_steps(F.col("rate")))
-    salted = steps.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    left = docs.withColumn("mix_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    right = salted.withColumnRenamed("mix_salt", "right_salt")
-    joined = left.join(right, left["source"].eqNullSafe(right["mix_source"]) & (left["mix_salt"] == right["right_salt"]))
-    u = uniform(F.col("doc_id"), seed)
-    count = F.when(F.col("rate") > 0, F.size(F.filter("mix_steps", lambda c: c <= u))).otherwise(0)
-    return joined.select(*[left[c] for c in docs.columns], F.col("rate").alias("mix_rate"), count.alias("mix_count"))
+    right = steps.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    right = right.select(*[F.col(c).alias(f"{c}__mix") for c in ("mix_source", "rate", "mix_steps", "mix_salt")])  # names that no column of docs has
+    salt = F.pmod(F.xxhash64(docs["doc_id"]), F.lit(SALTS)).cast("int")
+    joined = docs.join(right, docs["source"].eqNullSafe(F.col("mix_source__mix")) & (salt == F.col("mix_salt__mix")))
+    u = uniform(docs["doc_id"], seed)
+    rate = F.col("rate__mix")
+    count = F.when(rate > 0, F.size(F.filter("mix_steps__mix", lambda c: c <= u))).otherwise(0)
+    return joined.select(*[docs[c] for c in docs.columns if c not in ("mix_rate", "mix_count")], rate.alias("mix_rate"), count.alias("mix_count"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = SEED) -> DataFrame:
