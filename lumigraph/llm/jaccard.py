@@ -3,7 +3,7 @@
 The Jaccard distance is a metric. A pivot join over the whole corpus would be exact but useless: nearly all documents are at distance 1 from every pivot, so the windows would
 copy everything everywhere. So the first pivot is the empty set, under the distance |A xor B|: its regions are rings of set sizes, and the window copies a document into the next
 smaller ring if it can have a partner there. In a ring two linked sets differ in at most D shingles; cut by hash into more than D parts (allowing for empty ones), they agree
-in a part that is not empty. Equal parts chain documents into candidate regions; a part's key travels once for each chunk of documents, so a group of copies is never dealt to one task.
+in a part that is not empty. Equal parts of a ring chain documents into candidate regions; a part's key travels once for each chunk of documents, so a group of copies is never dealt to one task.
 
 Inside a region pivots create Voronoi cells by Jaccard distance; a document joins every cell whose pivot is at most 2 eps farther than its nearest one, cells join recursively, pairs outside any pivot's eps window are skipped,
 and so are pairs already connected. Regions too large for a task first have one pivot compared by all tasks, then what is left is joined in tiles. Copies (equal sets) are represented by their smallest id.
@@ -41,7 +41,10 @@ def rings(num: int, den: int, largest: int) -> np.ndarray:
 
 
 def signatures(hs: np.ndarray, os: np.ndarray, n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, owner) of all parts of all sets; hs, os: shingles sorted by owner; n: set sizes."""
+    """(signature, node) of all parts of all sets; hs, os: shingles sorted by owner; n: set sizes.
+
+    A set has two nodes: 2 * owner in its own ring, and 1 more in the ring below. Chains of equal parts thus stay inside a ring.
+    """
     ends = rings(num, den, int(n.max()) if len(n) else 1)
     ring = np.searchsorted(ends, n)
     out_s, out_o = [], []
@@ -69,7 +72,7 @@ def signatures(hs: np.ndarray, os: np.ndarray, n: np.ndarray, num: int, den: int
         index = (np.arange(len(sums)) - base[owner]).astype(np.uint64)
         tag = mix64(index * np.uint64(0x9E3779B97F4A7C15) + c[owner].astype(np.uint64) + _SEED)
         out_s.append(mix64(sums + tag)[send])
-        out_o.append(owner[send])
+        out_o.append(2 * owner[send] + down)
     if not out_s:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return np.concatenate(out_s), np.concatenate(out_o)
@@ -125,7 +128,7 @@ def _first_pass(words_n: int, num: int, den: int, buckets: int):
             np.add.at(s2, os, mix64(hs ^ np.uint64(0xABCDEF)))
             yield _pass1_row(0, len(texts), doc_id=doc_ids, n=n, s1=s1.view(np.int64), s2=s2.view(np.int64))
             sig, so = signatures(hs, os, n, num, den)
-            held.append((sig, np.array(doc_ids, np.int64)[so]))
+            held.append((sig, 2 * np.array(doc_ids, np.int64)[so >> 1] + (so & 1)))
             if sum(len(x) for x, _ in held) >= HELD:
                 yield from flush()
         if held and sum(len(x) for x, _ in held):
@@ -202,8 +205,22 @@ class Region:
             if todo.any():
                 self.compare(v, items[todo])
 
+    def partners(self) -> np.ndarray:
+        """Items that can have one: a linked set shares num / den of its shingles with its partner, so what shares less with all others together leaves, again and again."""
+        items = np.arange(len(self.n))
+        while len(items):
+            n = self.n[items]
+            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[items], n)
+            _, code, count = np.unique(self.flat[at], return_inverse=True, return_counts=True)
+            shared = np.bincount(np.repeat(np.arange(len(items)), n), count[code] > 1, len(items))
+            keep = self.den * shared >= self.num * n
+            if keep.all():
+                break
+            items = items[keep]
+        return items
+
     def join(self) -> np.ndarray:
-        stack = [np.arange(len(self.n))]
+        stack = [self.partners()]
         while stack:
             items = stack.pop()
             if len(items) < 2 or (self.labels[items] == self.labels[items[0]]).all() or not self.free[items].any():
@@ -216,7 +233,7 @@ class Region:
             nearest = distance.min(0)
             cell = distance.argmin(0)
             windows = [items[distance[j] <= nearest + 2 * self.eps] for j in range(len(pivots)) if (cell == j).any()]
-            if max(len(w) for w in windows) > 0.8 * len(items):
+            if sum(len(w) for w in windows) > 1.5 * len(items):  # more copying than cutting: cells would multiply from level to level
                 self.scan(items, distance)
             else:
                 stack += windows
@@ -309,7 +326,8 @@ def jaccard_components(docs: DataFrame, words_n: int = 5, num: int = 80, den: in
     chained = components(near, scratch, "near")
     reps = scratch.save(rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "reps")
     copies = rows.where("n > 0").join(reps, ["s1", "s2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    members = reps.select(F.col("rep").alias("doc_id"), "n").join(chained, F.col("doc_id") == chained.id).select("doc_id", "n", F.col("component").alias("region"))
+    nodes = reps.select(F.col("rep").alias("doc_id"), "n", F.explode(F.array(F.lit(0), F.lit(1))).alias("down"))
+    members = nodes.join(chained, F.col("doc_id") * 2 + F.col("down") == chained.id).select("doc_id", "n", F.col("component").alias("region"))
     sizes = members.groupBy("region").agg(F.count("*").alias("docs"), F.sum("n").alias("total")).where("docs > 1").select("region", (F.col("total") > REGION_SHINGLES).alias("large"))
     members = scratch.save(members.join(sizes, "region").select("doc_id", "region", "large").distinct(), "members")
     sets = scratch.save(docs.join(members, "doc_id").select("doc_id", "text", "region", "large").mapInArrow(_to_sets(words_n), "doc_id long, region long, large boolean, n long, shingles binary").where("n > 0"), "sets")
