@@ -25,8 +25,8 @@ from pyspark.sql.window import Window
 from ._common import Scratch, components, join_texts, label_min, mix64, record, shingles, shuffle_buckets, text_batches, words
 
 #: Shingles of a region that one task joins; larger regions are cut.
-REGION_SHINGLES = 4_000_000
-TILE_SHINGLES = 1_000_000
+REGION_SHINGLES = 8_000_000
+TILE_SHINGLES = 3_000_000
 #: Signatures a task holds before it passes them on.
 HELD = 1_500_000
 _SEED = np.uint64(0xD6E8FEB86659FD93)
@@ -207,17 +207,21 @@ class Region:
 
     def partners(self) -> np.ndarray:
         """Items that can have one: a linked set shares num / den of its shingles with its partner, so what shares less with all others together leaves, again and again."""
-        items = np.arange(len(self.n))
-        while len(items):
-            n = self.n[items]
-            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[items], n)
-            _, code, count = np.unique(self.flat[at], return_inverse=True, return_counts=True)
-            shared = np.bincount(np.repeat(np.arange(len(items)), n), count[code] > 1, len(items))
-            keep = self.den * shared >= self.num * n
-            if keep.all():
+        alive = np.ones(len(self.n), bool)
+        while alive.any():
+            own = np.sort(self.flat[np.repeat(alive, self.n)])
+            common = np.unique(own[1:][own[1:] == own[:-1]])
+            del own
+            keep = alive.copy()
+            for i in np.flatnonzero(alive):  # one item at a time: a region may fill most of a task's memory
+                mine = self.flat[self.first[i] : self.first[i] + self.n[i]]
+                where = np.searchsorted(common, mine)
+                where[where == len(common)] = 0
+                keep[i] = len(common) > 0 and self.den * np.count_nonzero(common[where] == mine) >= self.num * self.n[i]
+            if (keep == alive).all():
                 break
-            items = items[keep]
-        return items
+            alive = keep
+        return np.flatnonzero(alive)
 
     def join(self) -> np.ndarray:
         stack = [self.partners()]
@@ -322,7 +326,8 @@ def jaccard_components(docs: DataFrame, words_n: int = 5, num: int = 80, den: in
     first = scratch.save(docs.mapInArrow(_first_pass(words_n, num, den, buckets), _PASS1), "first", "kind")
     stars = first.where("kind = 1").select("bucket", "keys", "ids").groupBy("bucket").applyInArrow(_stars, "a long, b long")
     near = scratch.save(stars.union(first.where("kind = 2").select(F.col("doc_id").alias("a"), F.col("other").alias("b"))), "near")
-    rows = first.where("kind = 0").select("doc_id", "n", "s1", "s2")
+    rows = scratch.save(first.where("kind = 0").select("doc_id", "n", "s1", "s2"), "rows")
+    scratch.drop("first")  # its signatures are the largest table here
     chained = components(near, scratch, "near")
     reps = scratch.save(rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep")), "reps")
     copies = rows.where("n > 0").join(reps, ["s1", "s2", "n"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -338,7 +343,7 @@ def jaccard_components(docs: DataFrame, words_n: int = 5, num: int = 80, den: in
         linked = linked.union(_large_regions(sets.where("large").select("region", "doc_id", "n", "shingles"), num, den, scratch))
     found = components(scratch.save(linked.union(copies), "links"), scratch, "out")
     out = scratch.save(rows.join(found, rows.doc_id == found.id, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")), "result")
-    scratch.drop("first", "sets", "near", "links", "members", "reps", "pivots", "met")
+    scratch.drop("rows", "sets", "near", "links", "members", "reps", "pivots", "met")
     return out
 
 
