@@ -26,13 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ._common import Scratch, record
 
 CHUNK_BITS = 8
 RANK_STEP = 512
-SEGMENT_TOKENS = 1 << 20
+SEGMENT_TOKENS = 1 << 18
 END_ID = 0
 #: Pieces of texts kept with their ids in each Python worker.
 CACHE_WORDS = 400_000
@@ -179,7 +178,7 @@ def unpack(blob: bytes) -> np.ndarray:
 
 
 def write_tokens(docs: DataFrame, out: str, path: str | None = None, n_buckets: int | None = None) -> None:
-    """Writes the segments of ``docs`` (doc_id, text) to the Parquet folder ``out``: bucket, segment, doc_ids, lengths, n_ids, dac."""
+    """Writes the segments of ``docs`` (doc_id, text) to the Parquet folder ``out``: bucket, segment, before (ids of the bucket before it), doc_ids, lengths, n_ids, dac."""
     spark = docs.sparkSession
     n_buckets = n_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted({int(x) for x in docs.where("doc_id is not null").approxQuantile("doc_id", [k / n_buckets for k in range(1, n_buckets)], 0.2 / n_buckets)})
@@ -189,13 +188,13 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, n_buckets:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by bucket and doc_id."""
         held: list = []
-        state = {"bucket": None, "segment": 0, "n": 0}
+        state = {"bucket": None, "segment": 0, "before": 0, "n": 0}
 
         def flush():
             ids = np.concatenate([unpack(b) for _, _, b in held])
-            row = record({"bucket": pa.array([state["bucket"]], pa.int32()), "segment": pa.array([state["segment"]], pa.int32()), "doc_ids": pa.array([[d for d, _, _ in held]], pa.list_(pa.int64())), "lengths": pa.array([[n for _, n, _ in held]], pa.list_(pa.int64())), "n_ids": pa.array([len(ids)], pa.int64()), "dac": pa.array([dac_encode(ids)], pa.binary())})
+            row = record({"bucket": pa.array([state["bucket"]], pa.int32()), "segment": pa.array([state["segment"]], pa.int32()), "before": pa.array([state["before"]], pa.int64()), "doc_ids": pa.array([[d for d, _, _ in held]], pa.list_(pa.int64())), "lengths": pa.array([[n for _, n, _ in held]], pa.list_(pa.int64())), "n_ids": pa.array([len(ids)], pa.int64()), "dac": pa.array([dac_encode(ids)], pa.binary())})
             held.clear()
-            state.update(segment=state["segment"] + 1, n=0)
+            state.update(segment=state["segment"] + 1, before=state["before"] + len(ids), n=0)
             return row
 
         for batch in batches:
@@ -203,14 +202,14 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, n_buckets:
                 if held and (b != state["bucket"] or state["n"] + n > SEGMENT_TOKENS):
                     yield flush()
                 if b != state["bucket"]:
-                    state.update(bucket=b, segment=0)
+                    state.update(bucket=b, segment=0, before=0)
                 held.append((d, n, blob))
                 state["n"] += n
         if held:
             yield flush()
 
     ordered = encoded.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "doc_id")
-    ordered.mapInArrow(pack, "bucket int, segment int, doc_ids array<long>, lengths array<long>, n_ids long, dac binary").write.option("compression", "none").parquet(out)
+    ordered.mapInArrow(pack, "bucket int, segment int, before long, doc_ids array<long>, lengths array<long>, n_ids long, dac binary").write.option("compression", "none").parquet(out)
 
 
 def read_tokens(spark: SparkSession, out: str) -> DataFrame:
@@ -222,13 +221,11 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
         rows.append((b, total))
         total += sums[b]
     offsets = spark.createDataFrame(rows, "bucket int, bucket_start long")
-    inside = F.coalesce(F.sum("n_ids").over(Window.partitionBy("bucket").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    places = seg.select("bucket", "segment", inside.alias("before")).join(F.broadcast(offsets), "bucket").select("bucket", "segment", (F.col("before") + F.col("bucket_start")).alias("start"))
-    placed = seg.join(places, ["bucket", "segment"]).select("start", "doc_ids", "lengths", "dac")
+    placed = seg.join(F.broadcast(offsets), "bucket").select((F.col("before") + F.col("bucket_start")).alias("start"), "doc_ids", "lengths", "dac")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, doc_ids, lengths, dac in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for start, doc_ids, lengths, dac in (tuple(c[i].as_py() for c in batch.columns) for i in range(batch.num_rows)):
                 reader = DacReader(dac)
                 ends = np.cumsum(lengths)
                 ids = reader.slice(0, reader.n)
