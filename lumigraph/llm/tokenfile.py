@@ -17,6 +17,7 @@ defaults have it); equal doc_ids follow each other in no special order; rows wit
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -34,7 +35,7 @@ RANK_STEP = 512
 SEGMENT_TOKENS = 1 << 18
 END_ID = 0
 #: Pieces of texts kept with their ids in each Python worker.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 
 
 def dac_encode(ids: np.ndarray) -> bytes:
@@ -161,6 +162,7 @@ def encode_table(docs: DataFrame, path: str | None, end_id: int = END_ID) -> Dat
     """doc_id, n_tokens, ids (binary: the width as a digit, then the ids) of every row of docs (doc_id, text, bucket)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core; threads of its own would only spin
         where = path or tokenizer_path()
         encoder = _encoders.get(where) or _encoders.setdefault(where, WordEncoder(where))
         for batch in batches:
