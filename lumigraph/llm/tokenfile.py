@@ -152,6 +152,14 @@ class WordEncoder:
 _encoders: dict[str, WordEncoder] = {}
 
 
+def encoder_for(path: str) -> WordEncoder:
+    """The encoder of this process, kept between tasks (a function of the module, so that workers share its state)."""
+    if path not in _encoders:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core; threads of its own would only spin
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -162,9 +170,7 @@ def encode_table(docs: DataFrame, path: str | None, end_id: int = END_ID) -> Dat
     """doc_id, n_tokens, ids (binary: the width as a digit, then the ids) of every row of docs (doc_id, text, bucket)."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core; threads of its own would only spin
-        where = path or tokenizer_path()
-        encoder = _encoders.get(where) or _encoders.setdefault(where, WordEncoder(where))
+        encoder = encoder_for(path or tokenizer_path())
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = encoder([t or "" for t in batch.column(1).slice(lo, 256).to_pylist()])
