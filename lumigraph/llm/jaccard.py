@@ -335,7 +335,8 @@ def jaccard_components(docs: DataFrame, words_n: int = 5, num: int = 80, den: in
     members = nodes.join(chained, F.col("doc_id") * 2 + F.col("down") == chained.id).select("doc_id", "n", F.col("component").alias("region"))
     sizes = members.groupBy("region").agg(F.count("*").alias("docs"), F.sum("n").alias("total")).where("docs > 1").select("region", (F.col("total") > REGION_SHINGLES).alias("large"))
     members = scratch.save(members.join(sizes, "region").select("doc_id", "region", "large").distinct(), "members")
-    sets = scratch.save(docs.join(members, "doc_id").select("doc_id", "text", "region", "large").mapInArrow(_to_sets(words_n), "doc_id long, region long, large boolean, n long, shingles binary").where("n > 0"), "sets")
+    # members grow with the corpus, so they are never broadcast: the plan is the same at every size
+    sets = scratch.save(docs.join(members.hint("shuffle_merge"), "doc_id").select("doc_id", "text", "region", "large").mapInArrow(_to_sets(words_n), "doc_id long, region long, large boolean, n long, shingles binary").where("n > 0"), "sets")
     small = sets.where("not large").select("region", "doc_id", F.lit(True).alias("free"), "shingles")
     bundles = max(8, (sets.where("not large").agg(F.sum("n")).first()[0] or 0) // 500_000)
     linked = small.withColumn("bundle", F.pmod(F.xxhash64("region"), F.lit(bundles))).groupBy("bundle").applyInArrow(_link_regions(num, den), "a long, b long")
