@@ -175,6 +175,13 @@ def join_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return buf, start
 
 
+def slice_hashes(buf: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes from first to end."""
+    total = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_BYTE[buf] * _powers("up", _MULT, len(buf)), out=total[1:])
+    return mix64((total[end] - total[first]) * _powers("down", _INV, len(buf))[first])
+
+
 def words(buf: np.ndarray, start: np.ndarray, alnum: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased: hashes, owning text, first byte, end byte.
 
@@ -184,12 +191,8 @@ def words(buf: np.ndarray, start: np.ndarray, alnum: bool = False) -> tuple[np.n
     inside[1:-1] = _ALNUM[buf] if alnum else ~_SPACE[buf]
     step = np.diff(inside)
     first, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    n = len(buf)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[buf]] * _powers("up", _MULT, n), out=total[1:])
-    h = mix64((total[end] - total[first]) * _powers("down", _INV, n)[first])
     owner = np.searchsorted(start, first, "right") - 1
-    return h, owner, first, end
+    return slice_hashes(_LOWER[buf], first, end), owner, first, end
 
 
 def shingles(h: np.ndarray, owner: np.ndarray, n_texts: int, n: int) -> tuple[np.ndarray, np.ndarray]:

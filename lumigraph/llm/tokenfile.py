@@ -18,7 +18,6 @@ defaults have it); equal doc_ids follow each other in no special order; rows wit
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, record
+from ._common import Scratch, join_texts, record, slice_hashes
 
 CHUNK_BITS = 8
 RANK_STEP = 512
 SEGMENT_TOKENS = 1 << 18
 END_ID = 0
-#: Pieces of texts kept with their ids in each Python worker.
-CACHE_WORDS = 250_000
+#: Slots for pieces of texts with their ids in each Python worker (a power of two).
+CACHE_SLOTS = 1 << 20
 
 
 def dac_encode(ids: np.ndarray) -> bytes:
@@ -107,46 +106,133 @@ class DacReader:
         return value
 
 
-#: The byte-level pre-tokenizer's pattern (a fixed, published value) for texts of Latin-1 signs, with its classes spelled out.
-_L, _N, _S = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \u0085\u00a0"
-_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-_BEYOND = re.compile("[^\u0000-\u00ff]")
+#: The byte-level pre-tokenizer's pattern (a fixed, published value): 's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+
+_LETTER, _DIGIT, _OTHER, _BLANK, _END = range(5)
+_CLASS = np.array([_LETTER if chr(i).isalpha() else _DIGIT if chr(i).isnumeric() else _BLANK if i in (*range(9, 14), 32, 0x85, 0xA0) else _OTHER for i in range(256)], np.uint8)
+
+
+def pieces(buf: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where the pre-tokenizer's pieces begin in Latin-1 texts, each with one more byte at ``ends``, itself a piece."""
+    kind = _CLASS[buf]
+    kind[ends] = _END
+    begins = np.ones(len(buf), bool)
+    begins[1:] = kind[1:] != kind[:-1]
+    begins[ends] = True
+    begins[ends[:-1] + 1] = True
+    # the last blank before a word is a piece's beginning; a space draws the word to it
+    last = np.flatnonzero((kind[:-1] == _BLANK) & (kind[1:] < _BLANK))
+    begins[last] = True
+    begins[last + 1] = buf[last] != 32
+    quotes = np.flatnonzero((buf == 39) & begins)
+    quotes = quotes[kind[quotes + 1] == _LETTER]  # a text's last byte is its end, so there is one more
+    one, two = buf[quotes + 1], buf[np.minimum(quotes + 2, len(buf) - 1)]
+    short = np.isin(one, (115, 116, 109, 100))
+    long = ((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)
+    begins[quotes[short | long] + 1] = False
+    begins[quotes[short] + 2] = True
+    begins[quotes[long] + 3] = True
+    return np.flatnonzero(begins)
 
 
 class WordEncoder:
-    """Encodes texts through the tokenizer piece by piece, each different piece once while it stays in a bounded cache.
+    """Encodes texts through the tokenizer piece by piece, each different piece once while it stays in a bounded table.
 
     Byte-level BPE never merges across the pieces of its pre-tokenizer, so the pieces of a text are encoded alone as they are together. Texts with signs beyond Latin-1 or with a special string are encoded whole.
+    Pieces are told apart by a 64-bit hash and their length; the table has a slot for each value of the hash's low bits, and the piece seen first keeps it.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, slots: int = CACHE_SLOTS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for lo in range(0, len(texts), 1024):
-            for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 1024], add_special_tokens=False):
-                yield np.array(e.ids, self.kind).tobytes()
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.n_bytes = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
+        self.n_bytes[list(vocab.values())] = [len(t) for t in vocab]  # byte-level tokens have one sign a byte
+        self.mask = np.uint64(slots - 1)
+        self.keys = np.arange(slots, dtype=np.uint64) ^ np.uint64(1)  # no key of that slot, so the slot is free
+        self.free = np.ones(slots, bool)
+        self.at, self.count, self.width = np.zeros(slots, np.int64), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
+        self.ids, self.held = np.zeros(1 << 16, self.kind), 0
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for lo in range(0, len(texts), 1024) for e in self.tokenizer.encode_batch_fast(texts[lo : lo + 1024], add_special_tokens=False)]
+
+    def encode_pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, and how many each has. Pieces that begin with a space are split again as they were when they stand in a row, so many are encoded in one go and cut where their bytes end."""
+        found: list = [None] * len(words)
+        led = [i for i, w in enumerate(words) if len(w) > 1 and w[0] == " " and _CLASS[ord(w[1])] != _BLANK]
+        for lo in range(0, len(led), 1024):
+            part = led[lo : lo + 1024]
+            ids = self.encode(["".join([words[i] for i in part])])[0]
+            ends, wanted = np.cumsum(self.n_bytes[ids]), np.cumsum([len(words[i].encode()) for i in part])
+            cut = np.searchsorted(ends, wanted, "right")
+            if len(ids) and cut[0] and (ends[cut - 1] == wanted).all():
+                for i, a, b in zip(part, [0, *cut.tolist()], cut.tolist()):
+                    found[i] = ids[a:b]
+        rest = [i for i, x in enumerate(found) if x is None]
+        for i, ids in zip(rest, self.encode([words[i] for i in rest]), strict=True):
+            found[i] = ids
+        return np.concatenate(found), np.array([len(x) for x in found], np.int64)
+
+    def look_up(self, buf: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``ids`` of the pieces from ``first`` to ``end``, and how many ids each has."""
+        h = slice_hashes(buf, first, end)
+        slot = (h & self.mask).astype(np.int64)
+        at, count = self.at[slot], self.count[slot].astype(np.int64)
+        miss = np.flatnonzero((self.keys[slot] != h) | (self.width[slot] != end - first))
+        if len(miss):
+            fresh, one, back = np.unique(h[miss], return_index=True, return_inverse=True)
+            one = miss[one]
+            mine = slot[one]
+            _, lead = np.unique(mine, return_index=True)
+            stays = np.zeros(len(fresh), bool)
+            stays[lead] = self.free[mine[lead]]
+            order = np.argsort(~stays, kind="stable")  # those that stay come first, the others' ids are overwritten next time
+            whole = buf.tobytes().decode("latin-1")
+            ids, n = self.encode_pieces([whole[a:b] for a, b in zip(first[one[order]].tolist(), end[one[order]].tolist(), strict=True)])
+            if self.held + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids[: self.held], np.zeros(self.held + 2 * len(ids), self.kind)])
+            self.ids[self.held : self.held + len(ids)] = ids
+            begin, many = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
+            begin[order], many[order] = self.held + np.cumsum(n) - n, n
+            put = mine[stays]
+            self.keys[put], self.at[put], self.count[put], self.width[put], self.free[put] = fresh[stays], begin[stays], many[stays], (end - first)[one[stays]], False
+            self.held += int(many[stays].sum())
+            at[miss], count[miss] = begin[back], many[back]
+        return at, count
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Ids of every text, packed in ``kind``."""
-        whole = [i for i, t in enumerate(texts) if _BEYOND.search(t) or any(m in t for m in self.marks)]
-        apart = set(whole)
-        split = {i: _PIECES.findall(t) for i, t in enumerate(texts) if i not in apart}
-        fresh = list(set().union(*split.values()).difference(self.cache)) if split else []
-        found = dict(zip(fresh, self.encode(fresh), strict=True))
-        full = len(self.cache) + len(found) > CACHE_WORDS  # then those seen first, the frequent ones, stay
-        self.cache.update(found)
-        out = {i: b"".join(map(self.cache.__getitem__, parts)) for i, parts in split.items()}
-        if full:
-            for piece in fresh:
-                del self.cache[piece]
-        out |= zip(whole, self.encode([texts[i] for i in whole]), strict=True)
-        return [out[i] for i in range(len(texts))]
+        out: list = [None] * len(texts)
+        apart, split = [], []
+        for i, t in enumerate(texts):
+            if any(m in t for m in self.marks):
+                apart.append(i)
+                continue
+            try:
+                split.append((i, t.encode("latin-1")))
+            except UnicodeEncodeError:
+                apart.append(i)
+        if split:
+            buf, start = join_texts([t for _, t in split])
+            ends = start[1:] - 1
+            first = pieces(buf, ends)
+            end = np.append(first[1:], len(buf))
+            of_text = np.searchsorted(first, ends)  # the piece of the end byte
+            real = np.ones(len(first), bool)
+            real[of_text] = False
+            at, count = self.look_up(buf, first[real], end[real])
+            total = np.zeros(len(count) + 1, np.int64)
+            np.cumsum(count, out=total[1:])
+            ids = self.ids[np.repeat(at - total[:-1], count) + np.arange(total[-1])]
+            cut = [0, *total[of_text - np.arange(len(split))].tolist()]
+            for (i, _), a, b in zip(split, cut, cut[1:]):
+                out[i] = ids[a:b].tobytes()
+        for i, ids in zip(apart, self.encode([texts[i] for i in apart]), strict=True):
+            out[i] = ids.tobytes()
+        return out
 
 
 _encoders: dict[str, WordEncoder] = {}

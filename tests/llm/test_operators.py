@@ -261,11 +261,17 @@ def test_token_file(spark, docs, rows, tmp_path, monkeypatch):
         start += len(ids)
 
 
-def test_encoder_pieces():
+@pytest.mark.parametrize("slots", [16, 1 << 20])
+def test_encoder_pieces(slots):
     from tokenizers import Tokenizer
 
     r = random.Random(1)
     signs = [*"ab é'\n\t ,.1²ªµ ΩßĀ́　ñ's", "<|endoftext|>", "  ", "\n\n", " 's", "don't", "\x1c", "\x85"]
     texts = ["".join(r.choice(signs) for _ in range(r.randint(0, 30))) for _ in range(3000)]
-    t, e = Tokenizer.from_file(tokenfile.tokenizer_path()), tokenfile.WordEncoder(tokenfile.tokenizer_path())
-    assert all(np.frombuffer(y, e.kind).tolist() == t.encode(x, add_special_tokens=False).ids for x, y in zip(texts, e(texts), strict=True))
+    plain = [*"ab é'\n\t ,.1²ªµñsrelvmdt\xa0\x00", " ", "  ", "\n\n", " 's", "'s", "'re", "'ll", "'ve", "''", "\x1c", "\x85", " word" * 3]
+    texts += ["".join(r.choice(plain) for _ in range(r.randint(0, 30))) for _ in range(20000)] + ["", "x" * 5000, " " * 700 + "y"]
+    t = Tokenizer.from_file(tokenfile.tokenizer_path())
+    e = tokenfile.WordEncoder(tokenfile.tokenizer_path(), slots)
+    for lo in range(0, len(texts), 500):
+        part = texts[lo : lo + 500]
+        assert all(np.frombuffer(y, e.kind).tolist() == t.encode(x, add_special_tokens=False).ids for x, y in zip(part, e(part), strict=True))
