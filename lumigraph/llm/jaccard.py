@@ -6,7 +6,7 @@ smaller ring if it can have a partner there. In a ring two linked sets differ in
 in a part that is not empty. Equal parts of a ring chain documents into candidate regions; a part's key travels once for each chunk of documents, so a group of copies is never dealt to one task.
 
 Inside a region pivots create Voronoi cells by Jaccard distance; a document joins every cell whose pivot is at most 2 eps farther than its nearest one, cells join recursively, pairs outside any pivot's eps window are skipped,
-and so are pairs already connected. Regions too large for a task first have one pivot compared by all tasks, then what is left is joined in tiles. Copies (equal sets) are represented by their smallest id.
+and so are pairs already connected. Regions too large for a task first lose the documents that share too little with all others together; then one pivot is compared by all tasks, and what is left is joined in tiles. Copies (equal sets) are represented by their smallest id.
 
 Defined cases: texts null, empty or without words have no shingles and link with nothing; fewer words than n: the whole sequence is the only shingle; rows of one doc_id are
 one node and a row of the result each; rows with a null doc_id are left out; an empty table gives no rows. Other columns aren't read.
@@ -263,6 +263,69 @@ def _link_regions(num: int, den: int):
     return run
 
 
+def _sets_of(texts: list[bytes], words_n: int, limit: int = 4 << 20) -> list[np.ndarray]:
+    """Shingle sets of texts, ``limit`` bytes or one longer text at a time."""
+    sets, part, size = [], [], 0
+    for k, t in enumerate(texts):
+        part.append(t)
+        size += len(t)
+        if size >= limit or k == len(texts) - 1:
+            h, owner, _, _ = words(*join_texts(part))
+            hs, os = shingles(h, owner, len(part), words_n)
+            cut = np.searchsorted(os, np.arange(len(part) + 1))
+            sets += [hs[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            part, size = [], 0
+    return sets
+
+
+def _link_texts(words_n: int, num: int, den: int):
+    join = _link_regions(num, den)
+
+    def run(table: pa.Table) -> pa.Table:
+        """region, doc_id, text -> edges."""
+        sets = _sets_of([t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()], words_n)
+        full = pa.array([len(x) > 0 for x in sets], pa.bool_())  # another row of a doc_id may have no words
+        return join(pa.table({"region": table.column("region"), "doc_id": table.column("doc_id"), "free": full, "shingles": pa.array([x.tobytes() for x in sets], pa.binary())}).filter(full))
+
+    return run
+
+
+def _by_shingle(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """region, doc_id, shingles -> the shingles packed by region and bucket, with their documents."""
+        for batch in batches:
+            regions, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
+            for region in np.unique(regions):
+                mine = np.flatnonzero(regions == region)
+                key = np.concatenate([sets[i] for i in mine])
+                owner = np.repeat(ids[mine], [len(sets[i]) for i in mine])
+                bucket = (mix64(key) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                some = [k for k in range(buckets) if cut[k] < cut[k + 1]]
+                yield record({"region": pa.array([region] * len(some), pa.int64()), "bucket": pa.array(some, pa.int32()), "keys": pa.array([key[order[cut[k] : cut[k + 1]]].tobytes() for k in some], pa.binary()), "ids": pa.array([owner[order[cut[k] : cut[k + 1]]].tobytes() for k in some], pa.binary())})
+
+    return run
+
+
+def _shared(table: pa.Table) -> pa.Table:
+    """How many of each document's shingles in this bucket another document of the region has too."""
+    join = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()])
+    _, code, count = np.unique(join("keys", np.uint64), return_inverse=True, return_counts=True)
+    ids, both = np.unique(join("ids", np.int64)[count[code] > 1], return_counts=True)
+    return pa.table({"region": pa.array([table.column("region")[0].as_py()] * len(ids), pa.int64()), "doc_id": pa.array(ids, pa.int64()), "both": pa.array(both, pa.int64())})
+
+
+def _peel(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Documents of large regions that can have a partner: one shares num / den of its shingles with it, so at least as many with all others together."""
+    buckets = max(8, -(-(sets.agg(F.sum("n")).first()[0] or 0) // 1_000_000))
+    packed = sets.select("region", "doc_id", "shingles").mapInArrow(_by_shingle(buckets), "region long, bucket int, keys binary, ids binary")
+    shared = packed.groupBy("region", "bucket").applyInArrow(_shared, "region long, doc_id long, both long")
+    shared = shared.groupBy("region", "doc_id").agg(F.sum("both").alias("both"))
+    return sets.join(shared, ["region", "doc_id"]).where(F.col("both") * den >= F.col("n") * num).drop("both")
+
+
 def _medoid(table: pa.Table) -> pa.Table:
     sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
     best = int(Region(sets, 1, 1).pivots(np.arange(len(sets)))[0])
@@ -302,16 +365,12 @@ def _large_regions(sets: DataFrame, num: int, den: int, scratch: Scratch) -> Dat
 
 def _to_sets(words_n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """doc_id, text, region, large -> sets."""
+        """doc_id, text, region -> sets."""
         for batch in batches:
-            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            for lo in range(0, len(texts), 1024):
-                part = texts[lo : lo + 1024]
-                h, owner, _, _ = words(*join_texts(part))
-                hs, os = shingles(h, owner, len(part), words_n)
-                cut = np.searchsorted(os, np.arange(len(part) + 1))
-                rest = {name: batch.column(k).slice(lo, 1024) for k, name in ((0, "doc_id"), (2, "region"), (3, "large"))}
-                yield record(rest | {"n": pa.array(np.diff(cut), pa.int64()), "shingles": pa.array([hs[cut[k] : cut[k + 1]].tobytes() for k in range(len(part))], pa.binary())})
+            for lo in range(0, batch.num_rows, 1024):
+                sets = _sets_of([t or b"" for t in batch.column(1).slice(lo, 1024).cast(pa.binary()).to_pylist()], words_n)
+                rest = {name: batch.column(k).slice(lo, 1024) for k, name in ((0, "doc_id"), (2, "region"))}
+                yield record(rest | {"n": pa.array([len(x) for x in sets], pa.int64()), "shingles": pa.array([x.tobytes() for x in sets], pa.binary())})
 
     return run
 
@@ -334,17 +393,20 @@ def jaccard_components(docs: DataFrame, words_n: int = 5, num: int = 80, den: in
     nodes = reps.select(F.col("rep").alias("doc_id"), "n", F.explode(F.array(F.lit(0), F.lit(1))).alias("down"))
     members = nodes.join(chained, F.col("doc_id") * 2 + F.col("down") == chained.id).select("doc_id", "n", F.col("component").alias("region"))
     sizes = members.groupBy("region").agg(F.count("*").alias("docs"), F.sum("n").alias("total")).where("docs > 1").select("region", (F.col("total") > REGION_SHINGLES).alias("large"))
-    members = scratch.save(members.join(sizes, "region").select("doc_id", "region", "large").distinct(), "members")
+    members = scratch.save(members.join(sizes, "region").groupBy("doc_id", "region", "large").agg(F.max("n").alias("n")), "members")
     # members grow with the corpus, so they are never broadcast: the plan is the same at every size
-    sets = scratch.save(docs.join(members.hint("shuffle_merge"), "doc_id").select("doc_id", "text", "region", "large").mapInArrow(_to_sets(words_n), "doc_id long, region long, large boolean, n long, shingles binary").where("n > 0"), "sets")
-    small = sets.where("not large").select("region", "doc_id", F.lit(True).alias("free"), "shingles")
-    bundles = max(8, (sets.where("not large").agg(F.sum("n")).first()[0] or 0) // 500_000)
-    linked = small.withColumn("bundle", F.pmod(F.xxhash64("region"), F.lit(bundles))).groupBy("bundle").applyInArrow(_link_regions(num, den), "a long, b long")
-    if not sets.where("large").isEmpty():
-        linked = linked.union(_large_regions(sets.where("large").select("region", "doc_id", "n", "shingles"), num, den, scratch))
+    near_texts = scratch.save(docs.join(members.hint("shuffle_merge"), "doc_id").select("doc_id", "text", "region", "large"), "texts")
+    # texts are smaller than their shingles, so they travel to the tasks that join a region
+    small = near_texts.where("not large").select("region", "doc_id", "text")
+    bundles = max(8, (members.where("not large").agg(F.sum("n")).first()[0] or 0) // 500_000)
+    linked = small.withColumn("bundle", F.pmod(F.xxhash64("region"), F.lit(bundles))).groupBy("bundle").applyInArrow(_link_texts(words_n, num, den), "a long, b long")
+    if not members.where("large").isEmpty():
+        sets = scratch.save(near_texts.where("large").select("doc_id", "text", "region").mapInArrow(_to_sets(words_n), "doc_id long, region long, n long, shingles binary").where("n > 0"), "sets")
+        sets = scratch.save(_peel(sets, num, den), "peeled")
+        linked = linked.union(_large_regions(sets.select("region", "doc_id", "n", "shingles"), num, den, scratch))
     found = components(scratch.save(linked.union(copies), "links"), scratch, "out")
     out = scratch.save(rows.join(found, rows.doc_id == found.id, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")), "result")
-    scratch.drop("rows", "sets", "near", "links", "members", "reps", "pivots", "met")
+    scratch.drop("rows", "texts", "sets", "peeled", "near", "links", "members", "reps", "pivots", "met")
     return out
 
 

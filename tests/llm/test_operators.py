@@ -86,6 +86,15 @@ def test_region_join():
     assert all((labels[a] == labels[b]) == (want[a] == want[b]) for a, b in itertools.combinations(range(len(sets)), 2))
 
 
+@pytest.mark.parametrize("region", [1, 10**7])
+def test_jaccard_rows_of_one_id(spark, monkeypatch, region):
+    monkeypatch.setattr(jaccard, "REGION_SHINGLES", region)
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text), (1, None), (1, "other words " * 9), (2, text + " end"), (3, ""), (3, None), (4, text[:100])]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted({(r.doc_id, r.component_id) for r in got}) == [(1, 1), (2, 1), (3, 3), (4, 4)] and len(got) == len(rows)
+
+
 def test_keep_first(docs):
     kept = jaccard.keep_first(docs.union(docs.limit(1).withColumn("doc_id", F.lit(None).cast("long"))))
     assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 1 and kept.where("doc_id = 0").count() == 1 and not kept.where("doc_id between 50 and 64").count()
