@@ -195,13 +195,13 @@ class Entries:
         return out
 
     def learn(self, status: dict[int, bytes]) -> np.ndarray:
-        """Takes a status for each run sent (1: repeated in full, 2: its windows are sorted) and returns those of the second kind."""
+        """Takes a status for each run sent (1: repeated in full, 2: its windows are sorted) and returns those of the second kind, with all places of each in its smallest document."""
         state = np.zeros(len(self.sent), np.uint8)
         for b, x in status.items():
             state[self.order[self.cut[b] : self.cut[b + 1]]] = np.frombuffer(x, np.uint8)
         if len(self.sent):
             self.full |= (state == 1)[self.of]
-        return self.sent[state == 2]
+        return np.flatnonzero((state == 2)[self.of] & ~self.full) if len(self.sent) else self.sent
 
 
 def match_runs(blobs: list[bytes]) -> list[bytes]:

@@ -117,6 +117,17 @@ def test_suffix(docs, rows):
         assert (got[i].n_bytes, got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (len(t), gone.sum(), spans, hashlib.sha256(kept).hexdigest()), i
 
 
+def test_suffix_passage_repeated_in_a_document(spark):
+    r = random.Random(11)
+    passage, left, right = (sentence(r, 25, 10**6) for _ in range(3))
+    again = f"{left} {passage} {right}"  # the same run several times in its smallest document
+    texts = [f"{sentence(r, 30)} {passage} {sentence(r, 30)}", " ".join([again, sentence(r, 40), again, sentence(r, 40), again]), f"{sentence(r, 20)} {again}"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    test_suffix(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+    twice = suffix.remove_repeats(spark.createDataFrame([(0, texts[0]), (1, again), (1, again)], "doc_id long, text string")).where("doc_id = 1").collect()
+    assert len(twice) == 2 and twice[0] == twice[1] and twice[0].n_removed >= len(passage)
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert jaccard.jaccard_components(none).isEmpty() and suffix.remove_repeats(none).isEmpty() and sharding.shard_documents(none).isEmpty() and mixing.mix(none).isEmpty()
