@@ -2,7 +2,8 @@
 
 A source with target share w of all bytes gets the mean repetition rate w * total / own bytes. Every document draws its
 count from a Poisson distribution with that mean, inverting the distribution function at a uniform number hashed from
-(seed, doc_id); the document is exploded by its count and the copies are shuffled globally by a second hash.
+(seed, doc_id); the document is exploded by its count and the copies are shuffled globally by a second hash. Rates have no limit: a Poisson
+number of a rate above MAX_RATE is the sum of independent draws of equal rates of at most MAX_RATE each.
 
 Sources are not limited in number: rates reach the documents through a join spread over salts, so that a source with a
 third of all rows is spread as well. Defined cases: a null source is a source of its own; weights are relative and a source
@@ -17,13 +18,13 @@ from pyspark.sql import functions as F
 
 SALTS = 64
 SEED = "mix-1"
-#: Rates are at most this; beyond it a target can't be met by repetition and the rate stays here.
+#: The largest rate of one draw. (``oracle`` cuts rates there instead and says the same only up to this rate.)
 MAX_RATE = 50.0
 
 
-def uniform(key: Column, seed: str) -> Column:
+def uniform(key: Column, seed: str | Column) -> Column:
     """Uniform in [0, 1) from the first 52 bits of an md5."""
-    return F.conv(F.substring(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("-1")), F.lit(f":{seed}")).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    return F.conv(F.substring(F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("-1")), F.lit(":"), seed if isinstance(seed, Column) else F.lit(seed)).cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def poisson_steps(rate: Column) -> Column:
@@ -43,20 +44,23 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None) -> DataFrame
         given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "given string, weight double")
         sums = sums.join(given, F.col("mix_source").eqNullSafe(F.col("given")), "left").select("mix_source", "own", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     all_ = sums.agg(F.sum("own").alias("total"), F.sum("weight").alias("weights"))
-    rate = F.when((F.col("own") > 0) & (F.col("weights") > 0), F.least(F.lit(MAX_RATE), F.col("weight") / F.col("weights") * F.col("total") / F.col("own"))).otherwise(0.0)
+    rate = F.when((F.col("own") > 0) & (F.col("weights") > 0), F.col("weight") / F.col("weights") * F.col("total") / F.col("own")).otherwise(0.0)
     return sums.join(F.broadcast(all_)).select("mix_source", rate.alias("rate"))  # all_ is one row
 
 
 def with_counts(docs: DataFrame, weights: dict[str, float] | None = None, seed: str = SEED) -> DataFrame:
     """docs with mix_rate and mix_count."""
-    steps = source_rates(docs, weights).withColumn("mix_steps", poisson_steps(F.col("rate")))
+    draws = F.greatest(F.lit(1), F.ceil(F.col("rate") / F.lit(MAX_RATE)).cast("int"))
+    steps = source_rates(docs, weights).withColumn("mix_draws", draws).withColumn("mix_steps", poisson_steps(F.col("rate") / F.col("mix_draws")))
     right = steps.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    right = right.select(*[F.col(c).alias(f"{c}__mix") for c in ("mix_source", "rate", "mix_steps", "mix_salt")])  # names that no column of docs has
+    right = right.select(*[F.col(c).alias(f"{c}__mix") for c in ("mix_source", "rate", "mix_draws", "mix_steps", "mix_salt")])  # names that no column of docs has
     salt = F.pmod(F.xxhash64(docs["doc_id"]), F.lit(SALTS)).cast("int")
     joined = docs.join(right, docs["source"].eqNullSafe(F.col("mix_source__mix")) & (salt == F.col("mix_salt__mix")))
-    u = uniform(docs["doc_id"], seed)
-    rate = F.col("rate__mix")
-    count = F.when(rate > 0, F.size(F.filter("mix_steps__mix", lambda c: c <= u))).otherwise(0)
+    drawn = lambda u: F.size(F.filter("mix_steps__mix", lambda c: c <= u))
+    rate, n = F.col("rate__mix"), F.col("mix_draws__mix")
+    first = drawn(uniform(docs["doc_id"], seed))
+    more = F.transform(F.sequence(F.lit(2), n), lambda k: uniform(docs["doc_id"], F.concat(F.lit(f"{seed}:"), k.cast("string"))))
+    count = F.when(rate > 0, F.when(n > 1, first + F.aggregate(more, F.lit(0), lambda acc, u: acc + drawn(u))).otherwise(first)).otherwise(0)
     return joined.select(*[docs[c] for c in docs.columns if c not in ("mix_rate", "mix_count")], rate.alias("mix_rate"), count.alias("mix_count"))
 
 

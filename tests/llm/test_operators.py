@@ -188,6 +188,16 @@ def test_poisson_mean(spark):
     assert abs(n["x"] - 10000) < 400 and abs(n["y"] - 10000) < 400
 
 
+def test_poisson_rates_above_one_draw(spark):
+    d = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("same").alias("text"), F.when(F.col("id") < 20, "few").otherwise("many").alias("source"))
+    n = {r.source: r.n for r in mixing.with_counts(d).groupBy("source").agg(F.sum("mix_count").alias("n")).collect()}
+    assert abs(n["few"] - 2000) < 200 and abs(n["many"] - 2000) < 200
+    got = mixing.with_counts(d, {"few": 1.0}).where("source = 'few'").collect()
+    assert {r.mix_rate for r in got} == {200.0} and abs(sum(r.mix_count for r in got) - 4000) < 320 and len({r.mix_count for r in got}) > 5
+    huge = d.withColumn("source", F.when(F.col("doc_id") == 0, "few").otherwise("many"))  # a rate of 4000, where exp(-rate) is 0
+    assert abs(mixing.with_counts(huge, {"few": 1.0}).where("doc_id = 0").first().mix_count - 4000) < 320
+
+
 def test_warc(spark):
     rows = [
         (1, "http://www.A.com:80/x/?b=2&a=1#t", 10, "response", "e1", "d1", None, {"Content-Type": "html", "ETag": "e1"}, "body1"), (2, "https://a.com/x?a=1&b=2&utm_source=q", 20, "revisit", "e1", None, None, {"Expires": "9", "Content-Type": "no"}, None),
