@@ -12,7 +12,8 @@ A retrieved item is verified on word 5-shingles: an item's text is its question
 
 Passages are ``2 L`` words long and start every ``L`` words, where ``L`` is the number of words of the longest item, so every place where an item can stand lies whole in a passage.
 
-The index is broadcast in slices of at most ``slice_items`` items, each scanned on its own, so its size is bounded whatever the benchmark's.
+The index is broadcast in slices of about ``slice_items`` items, each scanned on its own, so its size is bounded whatever the benchmark's. Item count, mean length, longest item
+and document frequencies are those of the whole benchmark, so scores don't depend on the slices.
 Defined cases: items without words (null, blank) are not indexed; null and empty texts retrieve nothing; equal items are all reported; repeated rows of a document are reported once;
 rows with a null doc_id are never reported and, in filtering, kept; empty tables give no rows.
 """
@@ -21,13 +22,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import join_texts, record, shingles, text_batches, words
+from ._common import Scratch, join_texts, record, shingles, text_batches, words
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -41,24 +43,38 @@ def split_item(text: str) -> tuple[str, str]:
     return (text[: ends[-1]], text[ends[-1] :]) if ends else (text, "")
 
 
+def item_terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Item, term and frequency of every different term of every item, and the items' numbers of words."""
+    h, owner, _, _ = words(*join_texts([t.lower().encode() for t in texts]), True)
+    pair, tf = np.unique(np.stack([owner.astype(np.uint64), h], 1), axis=0, return_counts=True)
+    return pair[:, 0].astype(np.int64), pair[:, 1], tf, np.bincount(owner, minlength=len(texts))
+
+
+class Corpus(NamedTuple):
+    """Statistics of the whole benchmark: items, their words together, words of the longest, and the document frequencies of (sorted) terms."""
+
+    n: int
+    n_words: int
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+
 class Index:
-    """BM25 impacts by term, with block maxima, and the items' shingles."""
+    """BM25 impacts by term, with block maxima, and the items' shingles. Without ``corpus`` the items are the whole benchmark."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], corpus: Corpus | None = None):
         items = [(i, t) for i, t in items if t and t.split()]
         self.ids = np.array([i for i, _ in items], np.int64)
-        texts = [t.lower().encode() for _, t in items]
-        buf, start = join_texts(texts)
-        h, owner, _, _ = words(buf, start, True)
         n = len(items)
-        length = np.bincount(owner, minlength=n)
-        self.longest = int(length.max()) if n else 1
-        pair, tf = np.unique(np.stack([owner.astype(np.uint64), h], 1), axis=0, return_counts=True)
-        item, term = pair[:, 0].astype(np.int64), pair[:, 1]
+        item, term, tf, length = item_terms([t for _, t in items])
         self.terms, code = np.unique(term, return_inverse=True)
-        df = np.bincount(code, minlength=len(self.terms))
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        impact = idf[code] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / max(length.sum() / max(n, 1), 1)))
+        if corpus is None:
+            corpus = Corpus(n, int(length.sum()), int(length.max()) if n else 1, self.terms, np.bincount(code, minlength=len(self.terms)))
+        self.longest = corpus.longest
+        df = corpus.df[np.searchsorted(corpus.terms, self.terms)]
+        idf = np.log(1 + (corpus.n - df + 0.5) / (df + 0.5))
+        impact = idf[code] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / max(corpus.n_words / max(corpus.n, 1), 1)))
         impact = impact / np.bincount(item, impact, n)[item]
         order = np.lexsort((item, code))
         self.item, self.impact = item[order], impact[order]
@@ -185,6 +201,33 @@ def _holds_sequence(h: np.ndarray, wanted: np.uint64, longest: int) -> bool:
     return False
 
 
+def _slice_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (slice, text) of items: slice and term of all different terms of an item, and a row without a term with its number of words."""
+    for batch in batches:
+        of, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        kept = [k for k, t in enumerate(texts) if t.split()]
+        if not kept:
+            continue
+        of = of[kept]
+        item, term, _, length = item_terms([texts[k] for k in kept])
+        yield record({"slice": pa.array(of[item], pa.int32()), "term": pa.array(term.view(np.int64)), "n_words": pa.nulls(len(term), pa.int64())})
+        yield record({"slice": pa.array(of, pa.int32()), "term": pa.nulls(len(of), pa.int64()), "n_words": pa.array(length, pa.int64())})
+
+
+def slice_statistics(rows: DataFrame, slices: int, scratch: Scratch) -> Iterator[Corpus]:
+    """For each slice of items (k, text) the statistics of the whole benchmark, with the frequencies of the slice's terms."""
+    found = scratch.save(rows.select(F.pmod("k", F.lit(slices)).cast("int").alias("slice"), "text").mapInArrow(_slice_terms, "slice int, term long, n_words long"), "terms")
+    total = found.where("term is null").agg(F.count("*").alias("n"), F.sum("n_words").alias("n_words"), F.max("n_words").alias("longest")).first()
+    inside = found.where("term is not null")
+    known = scratch.save(inside.select("slice", "term").distinct().join(inside.groupBy("term").agg(F.count("*").alias("df")), "term"), "frequencies")
+    for s in range(slices):
+        part = known.where(F.col("slice") == s).select("term", "df").toArrow()  # the terms of about slice_items items
+        term, df = part.column("term").to_numpy().view(np.uint64), part.column("df").to_numpy()
+        order = np.argsort(term)
+        yield Corpus(total.n, total.n_words or 0, max(total.longest or 0, 1), term[order], df[order])
+    scratch.drop("terms", "frequencies")
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, min_overlap: float = 0.8, slice_items: int = 4096) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap for every document (doc_id, text) and item (item_id, text) it holds."""
     spark = docs.sparkSession
@@ -192,9 +235,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, threshold: float =
     n = rows.count()
     slices = max(1, -(-n // slice_items))
     out = None
-    for s in range(slices):
+    for s, corpus in enumerate(slice_statistics(rows, slices, Scratch(spark, "decontaminate")) if slices > 1 else [None]):
         part = rows.where(F.pmod("k", F.lit(slices)) == s)
-        index = spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()]))  # about slice_items rows
+        index = spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()], corpus))  # about slice_items rows
 
         def find(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for ids, texts in text_batches(batches, 2 << 20):

@@ -221,6 +221,16 @@ def test_decontamination(spark):
     assert sorted(x.doc_id for x in decontaminate.drop_contaminated(d, spark.createDataFrame(items, "item_id long, text string")).where("doc_id is not null").collect()) == [0, 3, 4]
 
 
+def test_decontamination_scores_of_any_slices(spark):
+    r = random.Random(8)
+    items = [(k, f"{sentence(r, 20, 60 if k % 2 else 3000)}. {sentence(r, 9, 60)}") for k in range(50)] + [(90, " "), (91, "!!!"), (92, "tiny one")]
+    part = lambda t: " ".join(t.split()[4:])
+    docs = spark.createDataFrame([(k, f"{sentence(r, 60, 3000)} {part(t)} {sentence(r, 60, 3000)}") for k, t in items[:50]], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, several = (sorted(tuple(x) for x in decontaminate.find_contamination(docs, bench, min_overlap=0.5, slice_items=n).collect()) for n in (4096, 7))
+    assert one == several and len(one) >= 40 and any(x[2] < 0.99 for x in one)
+
+
 def test_wand_is_exact():
     r = random.Random(4)
     index = decontaminate.Index([(k, sentence(r, 30, 200)) for k in range(60)])
