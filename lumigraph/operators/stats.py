@@ -18,7 +18,7 @@ from .hierarchy import cuts, thresholds
 #: Scale that makes the median absolute deviation of a normal sample its standard deviation.
 MAD_SCALE = 1.4826
 METRICS = [
-    "ncomponents", "ncomponents_nontrivial", "maxcomponent_size", "topn_components_sizesum", "log10_maxcomponent_size", "log10_topn_components_sizesum", "ncompsources", "topn_nsources", "ncompsinks", "topn_nsinks", "nflows", "ncompflows",
+    "ncomponents", "ncomponents_nontrivial", "ncomponents_signif_mw", "ncomponents_signif_fisher", "components_signif_sizesum_mw", "components_signif_sizesum_fisher", "maxcomponent_size", "topn_components_sizesum", "log10_maxcomponent_size", "log10_topn_components_sizesum", "ncompsources", "topn_nsources", "ncompsinks", "topn_nsinks", "nflows", "ncompflows",
     "flow_avglen", "flow_avginvlen", "compflow_avglen", "compflow_avginvlen", "flow_avgweight", "flow_avghopweight", "compflow_avgweight", "flow_avgminedgeweight", "compflow_avgminedgeweight", "flow_distance", "compflow_distance",
 ]
 

@@ -157,3 +157,14 @@ def test_export(spark, mode):
     out = export.export_flowgraph(hierarchy.merge_table(walk), walk, v, a, b, 0.05, steps=step, flowpaths=mode)
     assert out["components"].agg(F.sum("nvertices")).first()[0] == 25
     assert out["vertices"].where("is_source").count() == 2 and not out["edges"].isEmpty()
+
+
+def test_significance_metrics_reach_the_extremes(spark):
+    names = [f"{n}_{t}" for n in ("ncomponents_signif", "components_signif_sizesum") for t in ("mw", "fisher")]
+    rows = spark.createDataFrame([(p, float(t), *[(k + 2) * t * p for k in range(4)]) for p in (1, 2, 3) for t in range(1, 9)], ["perm", "threshold", *names])
+    binned = stats.bin_treecut_stats(rows.where("perm > 1"), ["perm"], 4)
+    agg = stats.aggregate_binstats(binned)
+    assert set(names) <= set(binned.columns) and set(names) <= set(agg.columns)
+    bounds = stats.threshold_bins([float(t) for t in range(1, 9)], 4)
+    out = stats.extreme_treecut_stats(stats.add_bins(rows.where("perm = 1"), bounds).drop("perm"), settle(agg))
+    assert {r.metric for r in out.select("metric").distinct().collect()} == set(names)
