@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import settle
@@ -17,7 +19,10 @@ def missing_stats(rows: DataFrame, stats: DataFrame, keys: list[str]) -> DataFra
 
 
 def export_flowgraph(merge: DataFrame, walk: DataFrame, vertices: DataFrame, sources: DataFrame, sinks: DataFrame, threshold: float, orig: DataFrame | None = None, steps: DataFrame | None = None, step_threshold: float | None = None, maxsteps: int = 2, flowpaths: str = "skip", vertex_stats: DataFrame | None = None, diedge_stats: DataFrame | None = None, mincompsize: int = 1, flow_edges: bool = False) -> dict[str, DataFrame]:
-    """components, vertices, diedges, edges at one threshold. flowpaths: skip, stepedges (traced steps as edges) or flowattr (paths as a column of flows)."""
+    """components, vertices, diedges, edges at one threshold. flowpaths: skip, stepedges (traced steps as edges) or flowattr (paths as a column of flows and walk edges).
+
+    orig: source, target, weight and any other columns (diedge_type and its _rev name the type of an original edge); all of them are in diedges and, for both directions, in edges.
+    """
     if flowpaths not in ("skip", "stepedges", "flowattr"):
         raise ValueError("flowpaths must be skip, stepedges or flowattr")
     if flowpaths != "skip" and steps is None:
@@ -39,23 +44,25 @@ def export_flowgraph(merge: DataFrame, walk: DataFrame, vertices: DataFrame, sou
         nodes = F.concat(F.array("source"), F.col("path"), F.array("target"))
         hops = paths.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("path") + 1), lambda k: F.struct(F.element_at(nodes, k).alias("source"), F.element_at(nodes, k + 1).alias("target")))).alias("h")).select("h.*").distinct()
         diedges = diedges.unionByName(hops.join(sub, ["source", "target"], "left_anti").withColumn("kind", F.lit("trace")), allowMissingColumns=True)
-    own = flows.select("source", "target", F.lit(float(threshold)).alias("walkweight"), F.lit(float(threshold)).alias("walkweight_rev"), F.when(F.col("source") == F.col("target"), "loop").otherwise("flow").alias("kind"), F.col("len").alias("flowlen"), F.col("minweight").alias("floweight"))
+    own = flows.select("source", "target", F.lit(float(threshold)).alias("walkweight"), F.lit(float(threshold)).alias("walkweight_rev"), F.when(F.col("src_comp") == F.col("dst_comp"), "loop").otherwise("flow").alias("kind"), F.col("len").alias("flowlen"), F.col("minweight").alias("floweight"))
     if flowpaths == "flowattr":
-        own = own.join(paths.groupBy("source", "target").agg(F.array_sort(F.collect_set("path")).alias("flowpaths")), ["source", "target"], "left")
+        listed = paths.groupBy("source", "target").agg(F.array_sort(F.collect_set("path")).alias("flowpaths"))
+        own, diedges = own.join(listed, ["source", "target"], "left"), diedges.join(listed, ["source", "target"], "left")
     diedges = diedges.unionByName(own, allowMissingColumns=True)
     if diedge_stats is not None:
         diedges = diedges.join(diedge_stats, ["source", "target"], "left")
     if orig is not None:
-        diedges = diedges.join(orig.select("source", "target", "weight"), ["source", "target"], "left").withColumn("is_original", F.col("weight").isNotNull())
+        diedges = diedges.join(orig, ["source", "target"], "left").withColumn("is_original", F.col("weight").isNotNull())
     diedges = settle(diedges)
     to = flows.groupBy(F.col("source").alias("vertex")).agg(_listed("target").alias("flows_to"), F.countDistinct("target").alias("nflows_to"))
     since = flows.groupBy(F.col("target").alias("vertex")).agg(_listed("source").alias("flows_from"), F.countDistinct("source").alias("nflows_from"))
+    loops = flows.where("src_comp = dst_comp").groupBy(F.col("source").alias("vertex")).agg(F.array_sort(F.collect_set("target")).alias("loops_through"), F.countDistinct("target").alias("nloops_through"))
     touched = diedges.select(F.col("source").alias("vertex")).union(diedges.select("target")).distinct()
     mark = lambda v, name: v.select("vertex").distinct().withColumn(name, F.lit(True))
-    out = touched.join(member, "vertex", "left").withColumn("is_steptrace", F.col("component").isNull()).fillna(0, ["component"]).join(mark(sources, "is_source"), "vertex", "left").join(mark(sinks, "is_sink"), "vertex", "left").join(to, "vertex", "left").join(since, "vertex", "left").fillna(False, ["is_source", "is_sink"]).fillna(0, ["nflows_to", "nflows_from"])
+    out = touched.join(member, "vertex", "left").withColumn("is_steptrace", F.col("component").isNull()).fillna(0, ["component"]).join(mark(sources, "is_source"), "vertex", "left").join(mark(sinks, "is_sink"), "vertex", "left").join(to, "vertex", "left").join(loops, "vertex", "left").join(since, "vertex", "left").fillna(False, ["is_source", "is_sink"]).fillna(0, ["nflows_to", "nloops_through", "nflows_from"])
     if vertex_stats is not None:
         out = out.join(vertex_stats, "vertex", "left")
-    return {"components": components, "vertices": out, "diedges": diedges, "edges": combine_diedges(diedges, flow_edges)}
+    return {"components": components, "vertices": out, "diedges": diedges, "edges": combine_diedges(diedges, flow_edges, None if orig is None else orig.columns)}
 
 
 def _listed(other: str):
@@ -64,11 +71,48 @@ def _listed(other: str):
     return F.transform(pairs, lambda p: F.struct(p["vertex"].alias("vertex"), p["flowlen"].alias("flowlen")))
 
 
-def combine_diedges(diedges: DataFrame, flow_edges: bool = False) -> DataFrame:
-    """One row for each pair of vertices, the heavier direction forward; pairs of flows only are left out unless asked for."""
-    w, r = F.coalesce("walkweight", F.lit(0.0)), F.coalesce("walkweight_rev", F.lit(0.0))
-    turn = (w < r) | ((w == r) & (F.col("source") > F.col("target")))
-    rows = diedges.select(F.when(turn, F.col("target")).otherwise(F.col("source")).alias("source"), F.when(turn, F.col("source")).otherwise(F.col("target")).alias("target"), "kind", F.when(turn, F.col("walkweight_rev")).otherwise(F.col("walkweight")).alias("w"), F.when(turn, F.col("walkweight")).otherwise(F.col("walkweight_rev")).alias("r"))
+#: Columns of walk edges whose maximum an edge has for each direction.
+MAXIMA = ["walkweight", "prob_perm_walkweight_greater", "walkpermweight_median", "walkpermweight_mad", "walkpermweight_mean", "walkpermweight_std"]
+
+
+def combine_diedges(diedges: DataFrame, flow_edges: bool = False, original: Sequence[str] | None = None) -> DataFrame:
+    """One row for each pair of vertices, the heavier direction forward (edges of equal weights keep theirs); pairs of flows only are left out unless asked for.
+
+    Columns of the backward directed edges end in _rev: maxima of the weights and permutation statistics, flowpaths and, with is_original, has_original and the ``original`` columns.
+    """
+    given, original = diedges.columns, list(original or [])
+    back = F.coalesce("walkweight", F.lit(0.0)) < F.coalesce("walkweight_rev", F.lit(0.0))
+    rows = diedges.select(F.when(back, F.col("target")).otherwise(F.col("source")).alias("source"), F.when(back, F.col("source")).otherwise(F.col("target")).alias("target"), back.alias("is_reverse"), *[c for c in given if c not in ("source", "target")])
     is_flow = F.col("kind").isin("flow", "loop")
-    out = rows.groupBy("source", "target").agg(F.bool_or(is_flow).alias("has_flow"), F.bool_and(F.col("kind") == "trace").alias("has_trace"), F.bool_or(~is_flow).alias("has_walk"), F.max("w").alias("walkweight"), F.max("r").alias("walkweight_rev"))
+    sides = (("", ~F.col("is_reverse")), ("_rev", F.col("is_reverse")))
+    parts = [F.bool_or(is_flow).alias("has_flow"), F.bool_and(F.col("kind") == "trace").alias("has_trace"), F.bool_or(~is_flow).alias("has_walk")]
+    parts += [F.max(F.when(side & ~is_flow, F.col(c))).alias(c + end) for c in MAXIMA if c in given for end, side in sides]
+    if "flowpaths" in given:
+        parts += [F.min(F.when(side & ~is_flow, F.col("flowpaths"))).alias(f"flowpaths{end}") for end, side in sides]
+    kept = [c for c in original if c not in ("source", "target")]
+    if "is_original" in given:
+        for end, side in sides:
+            mine = side & F.col("is_original")
+            parts += [F.bool_or(mine).alias(f"has_original{end}")]
+            if kept:
+                parts += [F.min_by(F.struct(*kept), F.when(mine, F.col("weight"))).alias(f"first{end}")]
+    out = rows.groupBy("source", "target").agg(*parts)
+    if "is_original" in given and kept:
+        out = out.select(*[c for c in out.columns if c not in ("first", "first_rev")], *_original_columns(kept))
     return out if flow_edges else out.where("has_walk")
+
+
+def _original_columns(kept: list[str]) -> list[Column]:
+    """Types and other columns of the original edges of both directions; a direction without one of its own takes what the other says of it in columns that end in _rev."""
+    out: dict[str, Column] = {}
+    if "diedge_type" in kept:
+        out["original_type"] = F.col("first")["diedge_type"]
+        other = F.col("first")["diedge_type_rev"] if "diedge_type_rev" in kept else F.lit(None)
+        out["original_type_rev"] = F.when(F.col("has_original_rev"), F.col("first_rev")["diedge_type"]).otherwise(other)
+    for c in kept:
+        if c != "diedge_type" and not c.endswith("_rev"):
+            out[c], out[f"{c}_rev"] = F.col("first")[c], F.col("first_rev")[c]
+    for c in kept:
+        if c.endswith("_rev"):  # said by the forward edge, if there is one
+            out[c] = F.when(F.col("has_original"), F.col("first")[c]).otherwise(out.get(c, F.lit(None)))
+    return [x.alias(name) for name, x in out.items()]

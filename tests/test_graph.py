@@ -168,3 +168,31 @@ def test_significance_metrics_reach_the_extremes(spark):
     bounds = stats.threshold_bins([float(t) for t in range(1, 9)], 4)
     out = stats.extreme_treecut_stats(stats.add_bins(rows.where("perm = 1"), bounds).drop("perm"), settle(agg))
     assert {r.metric for r in out.select("metric").distinct().collect()} == set(names)
+
+
+def test_export_carries_columns(spark):
+    d = spark.createDataFrame(
+        [(5, 2, 0.9, 0.4, "walk", None, 0.3, [[7]], 8.0, "up", "was", True), (2, 5, 0.4, 0.9, "walk", None, 0.6, [[]], 3.0, "down", "xx", True), (5, 2, 0.1, 0.1, "loop", 0, 9.0, [[1]], 8.0, "up", "was", True), (1, 3, 0.5, 0.2, "walk", None, 0.7, None, 4.0, "solo", "hint", True), (8, 9, 0.1, 0.1, "flow", 1, None, None, None, None, None, False)],
+        "source long, target long, walkweight double, walkweight_rev double, kind string, flowlen int, walkpermweight_mean double, flowpaths array<array<long>>, weight double, diedge_type string, diedge_type_rev string, is_original boolean",
+    )
+    got = {(r.source, r.target): r for r in export.combine_diedges(d, original=["source", "target", "weight", "diedge_type", "diedge_type_rev"]).collect()}
+    r, s = got[5, 2], got[1, 3]
+    assert set(got) == {(5, 2), (1, 3)} and (r.has_flow, r.has_trace, r.walkweight, r.walkweight_rev, r.walkpermweight_mean, r.walkpermweight_mean_rev) == (True, False, 0.9, 0.4, 0.3, 0.6)
+    assert (r.has_original, r.has_original_rev, r.weight, r.weight_rev, r.original_type, r.original_type_rev, r.flowpaths, r.flowpaths_rev) == (True, True, 8.0, 3.0, "up", "down", [[7]], [[]])
+    assert (s.has_original, s.has_original_rev, s.weight, s.weight_rev, s.original_type, s.original_type_rev, s.flowpaths, s.walkweight_rev) == (True, False, 4.0, None, "solo", "hint", None, None)
+
+
+def test_export_original_edges_and_loops(spark):
+    g, v = graphs.example_graph(spark), vertices(spark, 25)
+    step = settle(diffusion.stepmatrix(g))
+    walk = settle(diffusion.random_walk(step, v, 0.2).where("src <> dst"))
+    a, b = (spark.createDataFrame([(k,) for k in x], "vertex long") for x in ([1, 2], [1, 2, 3, 4]))
+    orig = walk.select(F.col("src").alias("source"), F.col("dst").alias("target"), F.col("w").alias("weight"), F.lit("x").alias("diedge_type"), F.col("src").alias("mark"))
+    more = walk.select(F.col("src").alias("source"), F.col("dst").alias("target"), F.lit(0.5).alias("walkpermweight_median"))
+    out = export.export_flowgraph(hierarchy.merge_table(walk), walk, v, a, b, 0.02, orig=orig, steps=step, flowpaths="flowattr", diedge_stats=more)
+    names = ("has_original", "original_type", "weight", "mark", "flowpaths", "walkpermweight_median", "walkweight")
+    assert {n + end for n in names for end in ("", "_rev")} <= set(out["edges"].columns)
+    assert {r.original_type for r in out["edges"].collect()} == {"x"} and out["diedges"].where("kind = 'walk' and mark <> source").isEmpty()
+    loops = {r.vertex: (r.loops_through or [], r.nloops_through) for r in out["vertices"].where("is_source").collect()}
+    comp = {r.vertex: r.component for r in out["vertices"].collect()}
+    assert loops and all(x == ([t for t in (1, 2, 3, 4) if comp.get(t) == comp[s]], len(x[0])) for s, x in loops.items()) and any(n for _, n in loops.values())
