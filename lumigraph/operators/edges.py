@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..tables import settle
+from .ranks import numbered
 
 
 @dataclass(frozen=True)
@@ -47,8 +49,7 @@ def isstronger(a: Column, b: Column, rev: bool = False) -> Column:
 def import_digraph(raw: DataFrame, src: str = "src", dst: str = "dst", w: str = "w", order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Edges with ids from 1 in label order, and (vertex, label). Of a repeated pair the row that is last by ``order`` counts, the largest weight if none is given."""
     labels = raw.select(F.col(src).alias("label")).union(raw.select(dst)).distinct()
-    # Ids number the labels globally; labels are aggregated before, and the numbering window sees one row a label.
-    nodes = labels.select(F.row_number().over(Window.orderBy("label")).cast("long").alias("vertex"), "label")
+    nodes = settle(numbered(labels, ["label"], "vertex").select("vertex", "label"))
     last = F.max_by(w, order) if order else F.max(w)
     one = raw.groupBy(F.col(src).alias("s"), F.col(dst).alias("d")).agg(last.cast("double").alias("w"))
     a, b = (nodes.select(F.col("vertex").alias(n), F.col("label").alias(f"{n}_label")) for n in ("src", "dst"))
@@ -84,12 +85,15 @@ def sorted_values(e: DataFrame, test: EdgeTest = EdgeTest()) -> DataFrame:
 def index_values(e: DataFrame, test: EdgeTest = EdgeTest()) -> DataFrame:
     """Edges with their weight's dense rank, weak to strong; ranks come from the distinct values, joined back."""
     order = F.desc("w") if test.rev else F.asc("w")
-    ranks = e.where(test.indexed(F.col("w"))).select("w").distinct().withColumn("rank", F.row_number().over(Window.orderBy(order)))
-    return e.join(ranks, "w").select("src", "dst", "w", "rank")
+    ranks = numbered(e.where(test.indexed(F.col("w"))).select("w").distinct(), [order], "rank")
+    return e.join(ranks, "w").select("src", "dst", "w", F.col("rank").cast("int").alias("rank"))
 
 
-def condense(e: DataFrame, rows: DataFrame, cols: DataFrame | None = None, test: EdgeTest = EdgeTest(), zerodiag: bool = False) -> DataFrame:
-    """Strongest edge between groups; rows: (vertex, part) for destinations, cols for sources. A block without a real edge has no row."""
+def condense(e: DataFrame, rows: DataFrame, cols: DataFrame | None = None, test: EdgeTest = EdgeTest(), zerodiag: bool = False, check: bool = False) -> DataFrame:
+    """Strongest edge between groups; rows: (vertex, part) for destinations, cols for sources. A block without a real edge has no row. An edge that ends in no group doesn't count; with ``check`` it is an error."""
+    if check:
+        for ends, groups in (("dst", rows), ("src", rows if cols is None else cols)):
+            check_vertices(e.select(F.col(ends).alias("src"), F.col(ends).alias("dst")), groups)
     cols = rows if cols is None else cols
     d = rows.select(F.col("vertex").alias("dst"), F.col("part").alias("dst_part"))
     s = cols.select(F.col("vertex").alias("src"), F.col("part").alias("src_part"))
@@ -105,8 +109,19 @@ def neighborhood_weights(e: DataFrame, graph: DataFrame, vertices: DataFrame) ->
     return vertices.select("vertex").join(sums, "vertex", "left").select("vertex", F.coalesce("weight", F.lit(0.0)).alias("weight"))
 
 
+def empty_edges(spark: SparkSession) -> DataFrame:
+    """No edge, with the schema of edges."""
+    return spark.createDataFrame([], "src long, dst long, w double")
+
+
+def diedge_ends(diedge: Column, n: int) -> tuple[Column, Column]:
+    """src and dest of the pairs of vertices 1..n that are numbered from 1, column by column."""
+    return (F.floor((diedge - 1) / n) + 1).cast("long"), (F.pmod(diedge - 1, F.lit(n)) + 1).cast("long")
+
+
 def all_pairs(e: DataFrame, n: int) -> DataFrame:
     """Every directed pair of vertices 1..n, column by column, with its weight or 0: n squared rows by definition."""
     spark = e.sparkSession
-    pairs = spark.range(n * n).select((F.col("id") + 1).alias("diedge"), (F.floor(F.col("id") / n) + 1).cast("long").alias("src"), (F.pmod("id", F.lit(n)) + 1).cast("long").alias("dest"))
+    src, dest = diedge_ends(F.col("id") + 1, n)
+    pairs = spark.range(n * n).select((F.col("id") + 1).alias("diedge"), src.alias("src"), dest.alias("dest"))
     return pairs.join(e.select("src", F.col("dst").alias("dest"), "w"), ["src", "dest"], "left").select("diedge", "src", "dest", F.coalesce("w", F.lit(0.0)).alias("w"))

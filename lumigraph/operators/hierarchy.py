@@ -1,7 +1,11 @@
-"""The hierarchy of strongly connected components over all thresholds, from one widest-path closure.
+"""The hierarchy of strongly connected components over all thresholds, as a forest of merges.
 
-Two vertices are strongly connected by edges of at least t exactly if the weaker of their two widest paths is at least t. So one table,
-merge(u, v), holds every component at every threshold, without a loop over thresholds.
+Every edge lies inside one component from some strongest threshold on. Those thresholds are found for all edges at once by bisection: the components of the edges of at least
+the middle threshold decide for each edge whether it belongs to the stronger half (inside) or, with components contracted, to the weaker one. An edge is in one half only, so a
+level of the bisection costs what the edges cost. What is kept is a forest: (u, v, m) says that the components of u and v are one from m on; it has fewer rows than there are vertices,
+and the components at t are those connected by merges of at least t. No table of pairs is ever made.
+
+Parts of the bisection of at most ``LOCAL`` edges are finished each in one task; before, components come from ``connect``, by rounds of joins where a part is too large for a task.
 """
 
 from __future__ import annotations
@@ -10,71 +14,128 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..tables import settle
+from . import connect
 from .edges import EdgeTest
 
-DENSE = 1024
+#: Edges of a part of the bisection that one task finishes.
+LOCAL = 1 << 20
+MERGE = "u long, v long, m double"
 
 
-def widest(e: DataFrame, test: EdgeTest = EdgeTest(), dense: int = DENSE) -> DataFrame:
-    """src, dst, w: the best bottleneck over all paths."""
-    sign = -1.0 if test.rev else 1.0
-    e = e.where(test._real(F.col("w")) & (F.col("src") != F.col("dst"))).select("src", "dst", (F.col("w") * sign).alias("w"))
-    n = e.select("src").union(e.select("dst")).distinct().count()
-    out = _widest_dense(e) if n <= dense else _widest_joins(e)
-    return out.select("src", "dst", (F.col("w") * sign).alias("w"))
+def bisect(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Forest of merges (u, v, m) of edges a -> b of weight w, the largest the strongest."""
+    ids, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    levels, rank = np.unique(w, return_inverse=True)
+    out_u, out_v, out_m = [], [], []
+    # A part: its edges and the weakest and strongest rank at which their ends may become one (-1: never).
+    parts = [(code[: len(a)], code[len(a) :], rank, -1, len(levels) - 1)]
+    while parts:
+        s, d, k, low, high = parts.pop()
+        apart = s != d
+        s, d, k = s[apart], d[apart], k[apart]
+        if not len(s) or high < 0:
+            continue
+        middle = (low + high + 1) // 2
+        strong = k >= middle
+        own, back = np.unique(np.concatenate([s, d]), return_inverse=True)
+        x, y = back[: len(s)], back[len(s) :]
+        label = connect.strong_labels(len(own), x[strong], y[strong])
+        inside = label[x] == label[y]
+        if low == high or middle == high:  # nothing is stronger: components become one here
+            e = inside & strong
+            if e.any():
+                u, v = forest(len(own), x[e], y[e])
+                out_u.append(own[u])
+                out_v.append(own[v])
+                out_m.append(np.full(len(u), levels[middle]))
+        else:
+            e = inside & strong
+            parts.append((s[e], d[e], k[e], middle, high))
+        if low < middle:
+            e = ~inside
+            parts.append((own[label[x[e]]], own[label[y[e]]], k[e], low, middle - 1))
+    cat = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+    return ids[cat(out_u, np.int64)], ids[cat(out_v, np.int64)], cat(out_m, np.float64)
 
 
-def _widest_dense(e: DataFrame) -> DataFrame:
-    """Bounded by DENSE vertices: one task."""
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node that is not the smallest of its component, with that smallest one."""
+    root = connect.label_min(n, a, b)
+    own = np.flatnonzero(root != np.arange(n))
+    return own, root[own]
 
-    def close(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, code = np.unique(np.concatenate([pdf.src, pdf.dst]), return_inverse=True)
-        m = np.full((len(ids), len(ids)), -np.inf)
-        np.maximum.at(m, (code[: len(pdf)], code[len(pdf) :]), pdf.w.to_numpy())
-        for k in range(len(ids)):
-            np.maximum(m, np.minimum(m[:, k : k + 1], m[k : k + 1, :]), out=m)
-        np.fill_diagonal(m, -np.inf)
-        i, j = np.nonzero(m > -np.inf)
-        return pd.DataFrame({"src": ids[i], "dst": ids[j], "w": m[i, j]})
 
-    return e.groupBy().applyInPandas(close, "src long, dst long, w double")
+#: Names that callers may give; the forest is the same.
+METHODS = ("bisect", "bottomup")
 
 
-def _widest_joins(e: DataFrame) -> DataFrame:
-    x = settle(e.groupBy("src", "dst").agg(F.max("w").alias("w")))
-    while True:
-        y = x.select(F.col("src").alias("mid"), F.col("dst").alias("to"), F.col("w").alias("w2"))
-        longer = x.join(y, x.dst == y.mid).where("src <> to").select("src", F.col("to").alias("dst"), F.least("w", "w2").alias("w"))
-        new = settle(x.union(longer).groupBy("src", "dst").agg(F.max("w").alias("w")))
-        if new.exceptAll(x).isEmpty():
-            return new
-        x = new
+def merge_table(e: DataFrame, test: EdgeTest = EdgeTest(), local: int = LOCAL, method: str = "bisect") -> DataFrame:
+    """u, v, m: the forest of merges of the edges that count."""
+    if method not in METHODS:
+        raise ValueError(f"method must be one of {', '.join(METHODS)}")
+    sign = -1.0 if test.rev else 1.0
+    kept = e.where(test.valid(F.col("w")) & (F.col("src") != F.col("dst"))).groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.max(F.col("w") * sign).alias("w"))
+    parts = settle(kept.select(F.lit("").alias("part"), "a", "b", "w"))
+    return settle(_merges(parts, local).select("u", "v", (F.col("m") * sign).alias("m")))
+
 
+def _merges(parts: DataFrame, local: int) -> DataFrame:
+    """Halves parts (part, a, b, w) of too many edges until all fit a task. A part is a graph of its own: the edges inside components at a threshold, or the rest with those
+    contracted, where weights from the threshold on count as the next lower one, since they merge nothing."""
 
-def merge_table(e: DataFrame, test: EdgeTest = EdgeTest()) -> DataFrame:
-    """u, v, m for both orders of u <> v: the strongest threshold at which they are one component."""
-    w = settle(widest(e, test))
-    back = w.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("w").alias("w2"))
-    weaker = F.greatest("w", "w2") if test.rev else F.least("w", "w2")
-    return settle(w.join(back, ["src", "dst"]).select(F.col("src").alias("u"), F.col("dst").alias("v"), weaker.alias("m")))
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        u, v, m = bisect(pdf.a.to_numpy(), pdf.b.to_numpy(), pdf.w.to_numpy())
+        return pd.DataFrame({"u": u, "v": v, "m": m})
+
+    out = None
+    while True:
+        sizes = settle(parts.groupBy("part").agg(F.count("*").alias("n")))
+        small = parts.join(sizes.where(F.col("n") <= local).select("part"), "part", "left_semi").groupBy("part").applyInPandas(solve, MERGE)
+        large = sizes.where(F.col("n") > local)
+        if large.isEmpty():
+            return small if out is None else out.union(small)
+        small = settle(small)
+        rows = settle(parts.join(large.select("part"), "part", "left_semi"))
+        levels = rows.select("part", "w").distinct()
+        bounds = levels.groupBy("part").agg(F.min("w").alias("least"), F.max("w").alias("most"), F.percentile_approx("w", 0.5, 10000).alias("half"))
+        second = levels.join(bounds, "part").where(F.col("w") > F.col("least")).groupBy("part").agg(F.min("w").alias("second"))
+        cut = bounds.join(second, "part", "left").select("part", "least", "most", F.when(F.col("half") > F.col("least"), F.col("half")).otherwise(F.coalesce("second", "least")).alias("at"))
+        below = levels.join(cut, "part").where(F.col("w") < F.col("at")).groupBy("part").agg(F.max("w").alias("below"))
+        marked = settle(rows.join(cut.join(below, "part", "left"), "part"))
+        label = settle(connect.strong_components(marked.where("w >= at").select(F.col("part").alias("key"), "a", "b"), local).withColumnRenamed("key", "part"))
+        a, b = (label.select("part", F.col("id").alias(c), F.col("component").alias(f"{c}_of")) for c in ("a", "b"))
+        placed = settle(marked.join(a, ["part", "a"], "left").join(b, ["part", "b"], "left").withColumns({"a_of": F.coalesce("a_of", "a"), "b_of": F.coalesce("b_of", "b")}))
+        strong = placed.where("a_of = b_of and w >= at")
+        # Edges of one weight have no stronger half.
+        joined = connect.components(strong.where("least = most").select(F.struct("part", "most").alias("key"), "a", "b"), local).where("id <> component")
+        done = joined.select(F.col("id").alias("u"), F.col("component").alias("v"), F.col("key.most").alias("m"))
+        out = settle(small.union(done) if out is None else out.union(small).union(done))
+        inside = strong.where("least < most").select(F.concat("part", F.lit("1")).alias("part"), "a", "b", "w")
+        rest = placed.where("a_of <> b_of and below is not null").groupBy(F.concat("part", F.lit("0")).alias("part"), F.col("a_of").alias("a"), F.col("b_of").alias("b"))
+        parts = settle(inside.union(rest.agg(F.max(F.when(F.col("w") >= F.col("at"), F.col("below")).otherwise(F.col("w"))).alias("w"))))
 
 
 def thresholds(merge: DataFrame, rev: bool = False) -> DataFrame:
     return merge.select(F.col("m").alias("threshold")).distinct().orderBy(F.desc("threshold") if rev else F.asc("threshold"))
 
 
-def cuts(merge: DataFrame, vertices: DataFrame, at: DataFrame, rev: bool = False, minsize: int = 1) -> DataFrame:
-    """threshold, component (its smallest vertex), vertex, for every threshold in ``at``."""
-    grid = vertices.select("vertex").join(F.broadcast(at.select("threshold")))  # every vertex at every threshold is the result
+def cuts(merge: DataFrame, vertices: DataFrame, at: DataFrame, rev: bool = False, minsize: int = 1, local: int = connect.LOCAL) -> DataFrame:
+    """threshold, component (its smallest vertex), vertex, for every threshold in ``at``: a row for each vertex and threshold is the result.
+
+    Merges travel to the thresholds at which they hold, so thresholds are solved apart from each other.
+    """
+    at = at.select("threshold").distinct()
     holds = F.col("m") <= F.col("threshold") if rev else F.col("m") >= F.col("threshold")
-    joined = grid.join(merge, (F.col("vertex") == F.col("u")) & holds, "left")
-    out = joined.groupBy("threshold", "vertex").agg(F.least(F.col("vertex"), F.min("v")).alias("component"))
+    kept = at.join(merge, holds).select(F.col("threshold").alias("key"), F.col("u").alias("a"), F.col("v").alias("b"))
+    found = settle(connect.components(kept, local).select(F.col("key").alias("threshold"), F.col("id").alias("vertex"), "component"))
     if minsize > 1:
-        big = out.groupBy("threshold", "component").count().where(F.col("count") >= minsize).drop("count")
-        out = out.join(big, ["threshold", "component"])
-    return out.select("threshold", "component", "vertex")
+        big = found.groupBy("threshold", "component").agg(F.count("*").alias("n")).where(F.col("n") >= minsize).drop("n")
+        return found.join(big, ["threshold", "component"]).join(vertices.select("vertex"), "vertex", "left_semi").select("threshold", "component", "vertex")
+    grid = vertices.select("vertex").crossJoin(at)
+    return grid.join(found, ["threshold", "vertex"], "left").select("threshold", F.coalesce("component", "vertex").alias("component"), "vertex")
 
 
 def cut(merge: DataFrame, vertices: DataFrame, threshold: float, rev: bool = False, minsize: int = 1) -> DataFrame:
@@ -82,28 +143,117 @@ def cut(merge: DataFrame, vertices: DataFrame, threshold: float, rev: bool = Fal
     return cuts(merge, vertices, at, rev, minsize).select("component", "vertex")
 
 
-def scc(e: DataFrame, vertices: DataFrame, test: EdgeTest = EdgeTest()) -> DataFrame:
-    """Strong components of the edges that pass the test."""
-    kept = e.where(test.valid(F.col("w"))).select("src", "dst", F.lit(1.0).alias("w"))
-    return cut(merge_table(kept, EdgeTest(skipval=None)), vertices, 1.0)
+def scc(e: DataFrame, vertices: DataFrame, test: EdgeTest = EdgeTest(), local: int = connect.LOCAL) -> DataFrame:
+    """component, vertex: strong components of the edges that pass the test."""
+    kept = e.where(test.valid(F.col("w"))).select(F.lit(0).alias("key"), F.col("src").alias("a"), F.col("dst").alias("b"))
+    found = connect.strong_components(kept, local).select(F.col("id").alias("vertex"), "component")
+    return vertices.select("vertex").join(found, "vertex", "left").select(F.coalesce("component", "vertex").alias("component"), "vertex")
+
+
+def dendrogram(u: np.ndarray, v: np.ndarray, m: np.ndarray, rev: bool = False) -> pd.DataFrame:
+    """Nodes of a forest of merges: component (smallest vertex), threshold, nvertices, up_component and up_threshold (of the parent; NaN for a root), is_leaf (a vertex, with a threshold of NaN)."""
+    ids, code = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = code[: len(u)], code[len(u) :]
+    levels, rank = np.unique(m if rev else -m, return_inverse=True)
+    order = np.argsort(rank, kind="stable")
+    cuts_ = np.searchsorted(rank[order], np.arange(len(levels) + 1))
+    root, size = np.arange(len(ids)), np.ones(len(ids), np.int64)
+    holds = [-1] * len(ids)  # the node that holds the component of each root; -1: the vertex alone
+    comp, level, count, up = [], [], [], []
+    leaf_up = np.full(len(ids), -1)
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return int(x)
+
+    for r in range(len(levels)):
+        old: dict[int, set] = {}
+        for e in order[cuts_[r] : cuts_[r + 1]].tolist():
+            x, y = find(a[e]), find(b[e])
+            if x == y:
+                continue
+            low, high = (x, y) if x < y else (y, x)
+            parts = old.pop(low, {low}) | old.pop(high, {high})
+            root[high] = low
+            size[low] += size[high]
+            old[low] = parts
+        for low, parts in old.items():
+            node = len(comp)
+            comp.append(int(ids[low]))
+            level.append(float(levels[r] if rev else -levels[r]))
+            count.append(int(size[low]))
+            up.append(-1)
+            for q in parts:
+                if holds[q] < 0:
+                    leaf_up[q] = node
+                else:
+                    up[holds[q]] = node
+            holds[low] = node
+    comp_, level_, up_ = np.array(comp, np.int64), np.array(level, float), np.array(up, np.int64)
+    far = lambda k: (np.where(k >= 0, comp_[np.maximum(k, 0)], -1), np.where(k >= 0, level_[np.maximum(k, 0)], np.nan)) if len(comp_) else (k, np.full(len(k), np.nan))
+    uc, ut = far(up_)
+    lc, lt = far(leaf_up)
+    nodes = pd.DataFrame({"component": comp_, "threshold": level_, "nvertices": np.array(count, np.int64), "up_component": uc, "up_threshold": ut, "is_leaf": False})
+    leaves = pd.DataFrame({"component": ids, "threshold": np.nan, "nvertices": np.int64(1), "up_component": lc, "up_threshold": lt, "is_leaf": True})
+    return pd.concat([nodes, leaves], ignore_index=True)
+
+
+_NODES = "component long, threshold double, nvertices long, up_component long, up_threshold double, is_leaf boolean"
 
 
 def tree(merge: DataFrame, vertices: DataFrame, rev: bool = False) -> DataFrame:
-    """node, parent, threshold, nvertices, component, vertices: different components of more than one vertex; the root first, with a null threshold if the graph isn't strongly connected.
+    """node, parent, threshold, nvertices, component, children, vertices: the different components of more than one vertex, the root first.
 
-    A component's threshold is the strongest at which it is one: of its cuts with the same vertices only that is kept.
+    A node is named by its place in the order of threshold (weak to strong) and smallest vertex; ``component`` is that vertex, ``children`` its nodes, ``vertices`` those that are in no child.
+    A component's threshold is the strongest at which it is one. If the whole graph never is one component, the root is the set of all vertices with a null threshold.
+    The forest of merges, at most a row a vertex, is put in order in one task for each of its trees; vertices below a node come from ``tree_vertices``.
     """
-    best = F.min("threshold") if rev else F.max("threshold")
-    sets = cuts(merge, vertices, thresholds(merge, rev), rev, 2).groupBy("threshold", "component").agg(F.array_sort(F.collect_list("vertex")).alias("vertices"))
-    nodes = sets.groupBy("vertices").agg(best.alias("threshold"))
+    found = settle(_forests(merge).groupBy("tree").applyInPandas(lambda pdf: dendrogram(pdf.u.to_numpy(), pdf.v.to_numpy(), pdf.m.to_numpy(), rev), _NODES))
+    real = lambda c: F.when(F.isnan(c), F.lit(None)).otherwise(F.col(c))
+    found = found.withColumns({"threshold": real("threshold"), "up_threshold": real("up_threshold")})
     n = vertices.count()
-    whole = vertices.agg(F.array_sort(F.collect_list("vertex")).alias("vertices"))
-    if n and nodes.where(F.size("vertices") == n).isEmpty():
-        nodes = nodes.unionByName(whole.withColumn("threshold", F.lit(None).cast("double")))
-    from pyspark.sql.window import Window
-
+    nodes = found.where("not is_leaf")
+    whole = n and nodes.where(F.col("nvertices") == n).isEmpty()
+    inner = nodes.select("component", "threshold", "nvertices", "up_component", "up_threshold")
+    least = vertices.agg(F.min("vertex").alias("component"), F.count("*").alias("nvertices"))
+    if whole:
+        inner = inner.union(least.select("component", F.lit(None).cast("double"), "nvertices", F.lit(-1).cast("long"), F.lit(None).cast("double")))
     order = F.desc_nulls_first("threshold") if rev else F.asc_nulls_first("threshold")
-    nodes = settle(nodes.withColumn("node", F.row_number().over(Window.orderBy(order, F.col("vertices")[0])).cast("long")).withColumn("nvertices", F.size("vertices")))
-    up = nodes.select(F.col("node").alias("parent"), F.col("nvertices").alias("pn"), F.col("vertices").alias("pv"))
-    found = nodes.join(up, (F.col("pn") > F.col("nvertices")) & F.array_contains("pv", F.col("vertices")[0])).groupBy("node").agg(F.min_by("parent", "pn").alias("parent"))
-    return nodes.join(found, "node", "left").select("node", "parent", "threshold", "nvertices", "vertices")
+    named = settle(inner.withColumn("node", F.row_number().over(Window.orderBy(order, "component")).cast("long")))
+    key = named.select(F.col("node").alias("parent"), F.col("component").alias("pc"), F.col("threshold").alias("pt"))
+    joined = (F.col("up_component") == F.col("pc")) & F.col("up_threshold").eqNullSafe(F.col("pt"))
+    below = settle(named.join(key, joined & (F.col("parent") != F.col("node")), "left").withColumn("parent", F.when(F.col("parent").isNull() & (F.col("node") > 1), F.lit(1).cast("long")).otherwise(F.col("parent"))).select("node", "parent", "threshold", "nvertices", "component"))
+    children = below.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.array_sort(F.collect_list("node")).alias("children"))
+    leaves = found.where("is_leaf").select(F.col("component").alias("vertex"), "up_component", "up_threshold").join(key, joined).select(F.col("parent").alias("node"), "vertex")
+    if whole:
+        leaves = leaves.union(vertices.select("vertex").join(leaves.select("vertex"), "vertex", "left_anti").select(F.lit(1).cast("long"), "vertex"))
+    own = leaves.groupBy("node").agg(F.array_sort(F.collect_list("vertex")).alias("vertices"))
+    none = F.array().cast("array<long>")
+    out = below.join(children, "node", "left").join(own, "node", "left")
+    return out.select("node", "parent", "threshold", F.col("nvertices").cast("int").alias("nvertices"), "component", F.coalesce("children", none).alias("children"), F.coalesce("vertices", none).alias("vertices"))
+
+
+def _forests(merge: DataFrame) -> DataFrame:
+    """merge with ``tree``: merges that hang together."""
+    whole = settle(connect.components(merge.select(F.lit(0).alias("key"), F.col("u").alias("a"), F.col("v").alias("b"))).select(F.col("id").alias("u"), F.col("component").alias("tree")))
+    return merge.join(whole, "u")
+
+
+def tree_vertices(nodes: DataFrame) -> DataFrame:
+    """node, vertex: all vertices below every node of ``tree``. Ancestors are found by doubling, so rounds grow with the logarithm of the depth."""
+    own = settle(nodes.select("node", F.explode("vertices").alias("vertex")))
+    jump = settle(nodes.where("parent is not null").select("node", F.col("parent").alias("up")))
+    above = jump
+    while not jump.isEmpty():
+        far = jump.select(F.col("node").alias("up"), F.col("up").alias("far"))
+        above = settle(above.union(above.join(far, "up").select("node", "far")))
+        jump = settle(jump.join(far, "up").select("node", F.col("far").alias("up")))
+    return own.union(own.join(above, "node").select(F.col("up").alias("node"), "vertex"))
+
+
+def same_tree(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two trees have the same nodes, thresholds and vertices."""
+    names = ["node", "parent", "threshold", "nvertices", "children", "vertices"]
+    return a.select(names).exceptAll(b.select(names)).isEmpty() and b.select(names).exceptAll(a.select(names)).isEmpty()

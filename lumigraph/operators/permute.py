@@ -11,6 +11,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalar import hilbert_order
+from .ranks import numbered
+
+
+#: Vertices whose distances one task can hold.
+WARD_VERTICES = 8192
+
+
+def vertexbins(e: DataFrame, vertices: DataFrame, by: str = "out", method: str = "sort", nbins: int = 10) -> DataFrame:
+    """vertex, bin by one of the methods ``sort`` and ``tree``."""
+    if method not in ("sort", "tree"):
+        raise ValueError("method must be sort or tree")
+    return (vertexbins_sort if method == "sort" else vertexbins_tree)(e, vertices, by, nbins)
 
 
 def degrees(e: DataFrame, vertices: DataFrame, weightf=lambda w: w) -> DataFrame:
@@ -22,8 +34,8 @@ def degrees(e: DataFrame, vertices: DataFrame, weightf=lambda w: w) -> DataFrame
 
 
 def _chunks(d: DataFrame, by: list[Column], n: int, nbins: int) -> DataFrame:
-    rank = F.row_number().over(Window.orderBy(*by, "vertex"))
-    return d.withColumn("bin", (F.floor((rank - 1) / max(1, math.ceil(n / nbins))) + 1).cast("int"))
+    bin_ = F.floor((F.col("_rank") - 1) / max(1, math.ceil(n / nbins))) + 1
+    return numbered(d, [*by, "vertex"], "_rank").withColumn("bin", bin_.cast("int")).drop("_rank")
 
 
 def vertexbins_sort(e: DataFrame, vertices: DataFrame, by: str = "out", nbins: int = 10) -> DataFrame:
@@ -41,7 +53,11 @@ def vertexbins_sort(e: DataFrame, vertices: DataFrame, by: str = "out", nbins: i
 
 
 def vertexbins_tree(e: DataFrame, vertices: DataFrame, by: str = "out", nbins: int = 10, weightf=F.sqrt) -> DataFrame:
-    """vertex, bin: Ward clusters of the root-weight degrees, on root distances. One task; meant for up to some thousand vertices."""
+    """vertex, bin: Ward clusters of the root-weight degrees, on root distances. One task holds a matrix of all pairs, so more than WARD_VERTICES are refused: bin those with ``vertexbins_sort``."""
+    if vertices.count() > WARD_VERTICES:
+        raise ValueError(f"Ward clusters are for {WARD_VERTICES} vertices at most")
+    if by not in ("out", "in", "outXin"):
+        raise ValueError("by must be out, in or outXin")
     d = degrees(e, vertices, weightf)
     columns = {"out": ["out"], "in": ["inn"], "outXin": ["out", "inn"]}[by]
 
@@ -67,11 +83,11 @@ def vertexbins_tree(e: DataFrame, vertices: DataFrame, by: str = "out", nbins: i
 
 
 def randpermgroups(bins: DataFrame, nperm: int, seed: int = 1) -> DataFrame:
-    """perm, vertex, from_vertex for permutations 1..nperm: vertices trade places inside their bin, by hash, whatever the partitioning."""
+    """perm, vertex, from_vertex for permutations 1..nperm: vertices trade places inside their bin, in the order of md5(seed:perm:vertex), whatever the partitioning."""
     perms = bins.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(nperm))))
     here = Window.partitionBy("perm", "bin")
     a = perms.select("perm", "bin", "vertex", F.row_number().over(here.orderBy("vertex")).alias("rank"))
-    b = perms.select("perm", "bin", F.col("vertex").alias("from_vertex"), F.row_number().over(here.orderBy(F.xxhash64(F.lit(seed), "perm", "vertex"), "vertex")).alias("rank"))
+    b = perms.select("perm", "bin", F.col("vertex").alias("from_vertex"), F.row_number().over(here.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("perm"), F.col("vertex"))), "vertex")).alias("rank"))
     return a.join(b, ["perm", "bin", "rank"]).select("perm", "vertex", "from_vertex")
 
 

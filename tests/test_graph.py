@@ -1,12 +1,15 @@
 """Known answers on small graphs."""
 
+import itertools
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lumigraph.functions import scalar
-from lumigraph.operators import diffusion, edges, export, flows, hierarchy, permute, stats
+from lumigraph.operators import connect, diffusion, edges, export, flows, hierarchy, permute, ranks, stats
 from lumigraph.operators.edges import EdgeTest
 from lumigraph.sources import graphs
 from lumigraph.tables import settle
@@ -38,10 +41,56 @@ def test_thresholds(merges):
     assert [r.threshold for r in hierarchy.thresholds(merges[1], True).collect()] == [50, 45, 35, 16, 12]
 
 
-def test_closure_by_joins(spark):
-    g = graphs.tarjan_graph(spark)
-    dense, joins = (sorted(map(tuple, hierarchy.widest(g, dense=k).collect())) for k in (100, 0))
-    assert dense == joins
+def forests(table):
+    return {(r.u, r.v, r.m) for r in table.collect()}
+
+
+def test_bisection_of_random_graphs():
+    """Components at every threshold against reachability by matrix products; the forest has fewer rows than there are vertices."""
+    r = np.random.default_rng(0)
+    for _ in range(200):
+        n, m = int(r.integers(2, 12)), int(r.integers(1, 40))
+        a, b, w = r.integers(0, n, m), r.integers(0, n, m), r.integers(1, 8, m).astype(float)
+        kept = a != b
+        a, b, w = a[kept], b[kept], w[kept]
+        if not len(a):
+            continue
+        u, v, t = hierarchy.bisect(a, b, w)
+        assert len(u) < n
+        for x in np.unique(w):
+            reach = np.eye(n, dtype=bool)
+            reach[a[w >= x], b[w >= x]] = True
+            for _ in range(4):
+                reach = reach @ reach
+            assert (connect.label_min(n, u[t >= x], v[t >= x]) == (reach & reach.T).argmax(1)).all()
+
+
+def test_bisection_by_joins(spark, merges):
+    """Parts too large for a task are halved with joins and give the same components."""
+    g, v = graphs.tarjan_graph(spark), vertices(spark, 7)
+    far = hierarchy.merge_table(g, local=1)
+    assert [r.threshold for r in hierarchy.thresholds(far).collect()] == [8, 12, 13, 30] and far.count() == 6
+    for t in (8, 12, 13, 30):
+        assert sets(hierarchy.cut(far, v, t)) == sets(hierarchy.cut(merges[0], v, t))
+    with pytest.raises(ValueError):
+        hierarchy.merge_table(g, method="other")
+
+
+def test_components_of_many_graphs(spark):
+    rows = [("x", 1, 2), ("x", 3, 2), ("x", 5, 5), ("y", 1, 2), ("y", 2, 1), ("y", 2, 3), ("y", 3, 4), ("y", 4, 3), ("z", 9, 8)]
+    e = spark.createDataFrame(rows, "key string, a long, b long")
+    weak = {("x", 1): 1, ("x", 2): 1, ("x", 3): 1, ("x", 5): 5, ("y", 1): 1, ("y", 2): 1, ("y", 3): 1, ("y", 4): 1, ("z", 8): 8, ("z", 9): 8}
+    strong = {("x", 1): 1, ("x", 2): 2, ("x", 3): 3, ("x", 5): 5, ("y", 1): 1, ("y", 2): 1, ("y", 3): 3, ("y", 4): 3, ("z", 8): 8, ("z", 9): 9}
+    for local in (100, 2, 0):
+        assert {(r.key, r.id): r.component for r in connect.components(e, local).collect()} == weak
+        assert {(r.key, r.id): r.component for r in connect.strong_components(e, local).collect()} == strong
+
+
+def test_ranks(spark):
+    df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("x"), F.lit(2.0).alias("w")).repartition(5)
+    assert all(r.k == r.x + 1 for r in ranks.numbered(df, ["x"], "k").collect())
+    assert all(r.s == 2 * r.x + 2 for r in ranks.running(df, ["x"], "w", "s").collect())
+    assert ranks.numbered(df.limit(0), ["x"], "k").isEmpty()
 
 
 @pytest.mark.parametrize("t, groups", [(0, [range(1, 8)]), (12, [[1, 2, 3, 4, 5, 7], [6]]), (13, [[2, 3, 4, 5, 7], [1], [6]]), (30, [[2, 3, 7], [4], [5], [1], [6]]), (31, [[k] for k in range(1, 8)])])
@@ -63,7 +112,12 @@ def test_minsize_and_scc(spark, merges):
 def test_tree_of_unconnected_cycles(spark):
     g = graphs.edges(spark, [(1, 2, 10), (2, 1, 12), (3, 4, 11), (4, 3, 12)])
     rows = hierarchy.tree(hierarchy.merge_table(g), vertices(spark, 4)).orderBy("node").collect()
-    assert [(r.threshold, r.parent, r.vertices) for r in rows] == [(None, None, [1, 2, 3, 4]), (10, 1, [1, 2]), (11, 1, [3, 4])]
+    assert [(r.threshold, r.parent, r.children, r.vertices, r.nvertices) for r in rows] == [(None, None, [2, 3], [], 4), (10, 1, [], [1, 2], 2), (11, 1, [], [3, 4], 2)]
+    nodes = hierarchy.tree(hierarchy.merge_table(g), vertices(spark, 5))
+    assert nodes.where("node = 1").first().vertices == [5] and hierarchy.same_tree(nodes, nodes) and not hierarchy.same_tree(nodes, nodes.where("node > 1"))
+    assert {(r.node, r.vertex) for r in hierarchy.tree_vertices(nodes).collect()} == {(1, k) for k in range(1, 6)} | {(2, 1), (2, 2), (3, 3), (3, 4)}
+    back = hierarchy.tree(hierarchy.merge_table(g, EdgeTest(rev=True)), vertices(spark, 4), True).orderBy("node").collect()
+    assert [(r.threshold, r.vertices) for r in back] == [(None, []), (12, [1, 2]), (12, [3, 4])]
     none = graphs.edges(spark, [])
     assert hierarchy.tree(hierarchy.merge_table(none), vertices(spark, 0)).isEmpty()
     assert [r.vertices for r in hierarchy.tree(hierarchy.merge_table(none), vertices(spark, 1)).collect()] == [[1]]
@@ -77,7 +131,16 @@ def test_flows(spark):
     cf = settle(flows.component_flows(cut, g, a, b))
     got = {(r.source, r.target, r.len, r.minweight) for r in flows.vertex_flows(cut, cf, a, b).collect()}
     assert got == {(1, 6, 1, 26), (4, 4, 0, 0), (5, 2, 1, 50), (5, 6, 2, 20), (7, 2, 0, 45), (7, 6, 1, 20)}
-    assert {(r.source, r.target) for r in flows.flow_subgraph(cut, g, a, b).collect()} >= {(1, 6), (2, 7), (3, 2), (3, 7), (5, 7), (7, 3), (7, 6)}
+    assert {(r.source, r.target) for r in flows.flow_subgraph(cut, g, a, b).collect()} == {(1, 6), (2, 7), (3, 2), (3, 7), (5, 7), (7, 3), (7, 6)}
+    ce = flows.component_edges(cut, g)
+    start = cut.join(a, "vertex").select("threshold", F.col("component").alias("src_comp")).distinct()
+    assert sorted(flows._reach_local(ce, start).collect()) == sorted(flows._reach_joins(settle(ce), start).collect())
+    used = [sorted(r.vertex for r in x.collect()) for x in flows.used_ends(flows.vertex_flows(cut, cf, a, b))]
+    assert used == [[1, 4, 5, 7], [2, 4, 6]]
+    only = flows.vertex_flows(cut, cf, a, b, mincompsize=2)
+    assert {(r.source, r.target) for r in only.collect()} == {(7, 2)}
+    _, sub, found = flows.flowgraph(hierarchy.merge_table(g), g, v, a, b, EdgeTest(20.0), mincompsize=2)
+    assert {(r.source, r.target) for r in sub.collect()} == {(2, 7), (3, 2), (3, 7), (7, 3)} and {(r.source, r.target) for r in found.collect()} == {(7, 2)}
     s = flows.flowstats(cut, cf, a, b, g).first()
     assert (s.nflows, s.ncompflows, s.flowlen_sum, s.compflowlen_max, s.ncompsources, s.ncompsinks) == (6, 6, 5, 2, 4, 3)
     assert s.flowinvlen_sum == pytest.approx(23 / 6) and s.floweight_sum == 46 and s.flowavghopweight_sum == 23 and s.flow_minedgeweight_sum == 161
@@ -101,12 +164,29 @@ def test_walk_stats(spark):
         assert t1[name] == pytest.approx(x) and t2[name] == pytest.approx(y), name
 
 
-def test_walks_agree(spark):
+@pytest.mark.parametrize("r", [0, 0.75, 1])
+def test_walks_agree(spark, r):
+    v = vertices(spark, 9)  # 8 and 9 have no edge
+    step = settle(diffusion.stepmatrix(graphs.tarjan_graph(spark)))
+    exact, rounds = ({(x.src, x.dst): x.w for x in diffusion.random_walk(step, v, r, 1e-3, dense).collect()} for dense in (100, 0))
+    assert exact.keys() == rounds.keys() and all(math.isclose(exact[k], rounds[k], abs_tol=1e-2) for k in exact)
+    assert len(exact) == {0: 0, 0.75: 51, 1: 9}[r]
+    x = v.select("vertex", (F.col("vertex") * 1.5).alias("weight"))
+    want = {k: sum(w * 1.5 * s for (s, t), w in exact.items() if t == k) for k in range(1, 10)}
+    for dense in (100, 0):
+        got = {y.vertex: y.weight for y in diffusion.diffuse(step, x, r, 1e-3, dense).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=0.2) for k in want)
+
+
+def test_walk_limits(spark):
     v, step = vertices(spark, 7), settle(diffusion.stepmatrix(graphs.tarjan_graph(spark)))
-    exact, rounds = ({(r.src, r.dst): r.w for r in diffusion.random_walk(step, v, 0.5, 1e-6, dense).collect()} for dense in (100, 0))
-    assert exact.keys() == rounds.keys() and all(math.isclose(exact[k], rounds[k], abs_tol=1e-5) for k in exact)
     with pytest.raises(ValueError):
         diffusion.random_walk(step, v, 1.5)
+    with pytest.raises(ValueError):  # weights of 6 to 50 are no steps
+        diffusion.random_walk(graphs.tarjan_graph(spark), v, 0.1, dense=0)
+    both = spark.createDataFrame([(p, k, float(k * p)) for p in (1, 2) for k in range(1, 8)], "perm int, vertex long, weight double")
+    got = {(r.perm, r.vertex): r.weight for r in diffusion.diffuse(step, both, 0.5).collect()}
+    assert len(got) == 14 and all(math.isclose(got[2, k], 2 * got[1, k]) for k in range(1, 8))
 
 
 def test_bins_and_permutations(spark):
@@ -143,7 +223,18 @@ def test_ecdf_and_bins(spark):
     x = spark.createDataFrame([(1.0,), (2.0,), (2.0,), (4.0,)], "x double")
     at = {r.x: r.f for r in scalar.ecdf_at(scalar.ecdf(x, "x"), spark.createDataFrame([(0.0,), (1.0,), (3.0,), (9.0,)], "x double"), interpolate=True).collect()}
     assert at == {0.0: 0.0, 1.0: 0.25, 3.0: 0.875, 9.0: 1.0}
-    assert stats.threshold_bins([1, 2, 3, 4, 5, 6], 3) == [1, 2, 3, 4, 5, 6] and stats.threshold_bins([1, 2, 3, 4, 5, 6], 2) == [1, 3, 5, 6]
+    bounds = lambda values, n, **more: stats.threshold_bins(spark.createDataFrame([(float(x),) for x in values], "threshold double"), n, **more)
+    assert bounds([1, 2, 3, 4, 5, 6], 3) == [1, 2, 3, 4, 5, 6] and bounds([1, 2, 3, 4, 5, 6], 2) == [1, 3, 5, 6]
+    assert bounds([1, 1, 1, 1, 2, 3], 2) == [1, 2, 3] and bounds([1, 2, 9, 10], 1, maxwidth=5) == [1, 9, 10] and bounds([0, 1, 2, 9], 1, threshold_range=(1, 2)) == [1, 2] and bounds([], 3) == []
+    r = random.Random(3)
+    values = sorted(float(r.randrange(60)) for _ in range(200))
+    for n, width in ((7, None), (3, 4.0), (50, None), (1, 2.0)):
+        want, last = [], 0
+        for i, t in enumerate(values, 1):
+            if not want or (want[-1] < t and ((i + 1 - last) * n >= len(values) or i == len(values))) or (width is not None and t - want[-1] >= width):
+                want.append(t)
+                last = i
+        assert bounds(values, n, maxwidth=width) == want
     with pytest.raises(ValueError):
         scalar.ecdf(spark.createDataFrame([(float("nan"),)], "x double"), "x")
 
@@ -165,15 +256,15 @@ def test_significance_metrics_reach_the_extremes(spark):
     binned = stats.bin_treecut_stats(rows.where("perm > 1"), ["perm"], 4)
     agg = stats.aggregate_binstats(binned)
     assert set(names) <= set(binned.columns) and set(names) <= set(agg.columns)
-    bounds = stats.threshold_bins([float(t) for t in range(1, 9)], 4)
+    bounds = stats.threshold_bins(rows, 4)
     out = stats.extreme_treecut_stats(stats.add_bins(rows.where("perm = 1"), bounds).drop("perm"), settle(agg))
     assert {r.metric for r in out.select("metric").distinct().collect()} == set(names)
 
 
 def test_export_carries_columns(spark):
     d = spark.createDataFrame(
-        [(5, 2, 0.9, 0.4, "walk", None, 0.3, [[7]], 8.0, "up", "was", True), (2, 5, 0.4, 0.9, "walk", None, 0.6, [[]], 3.0, "down", "xx", True), (5, 2, 0.1, 0.1, "loop", 0, 9.0, [[1]], 8.0, "up", "was", True), (1, 3, 0.5, 0.2, "walk", None, 0.7, None, 4.0, "solo", "hint", True), (8, 9, 0.1, 0.1, "flow", 1, None, None, None, None, None, False)],
-        "source long, target long, walkweight double, walkweight_rev double, kind string, flowlen int, walkpermweight_mean double, flowpaths array<array<long>>, weight double, diedge_type string, diedge_type_rev string, is_original boolean",
+        [(5, 2, 0.9, 0.4, None, None, 0.3, [[7]], 8.0, "up", "was", True), (2, 5, 0.4, 0.9, None, None, 0.6, [[]], 3.0, "down", "xx", True), (5, 2, 0.1, 0.1, "loop", 0, 9.0, [[1]], 8.0, "up", "was", True), (1, 3, 0.5, 0.2, None, None, 0.7, None, 4.0, "solo", "hint", True), (8, 9, 0.1, 0.1, "flow", 1, None, None, None, None, None, False)],
+        "source long, target long, walkweight double, walkweight_rev double, flow string, flowlen int, walkpermweight_mean double, flowpaths array<array<long>>, weight double, diedge_type string, diedge_type_rev string, is_original boolean",
     )
     got = {(r.source, r.target): r for r in export.combine_diedges(d, original=["source", "target", "weight", "diedge_type", "diedge_type_rev"]).collect()}
     r, s = got[5, 2], got[1, 3]
@@ -192,7 +283,92 @@ def test_export_original_edges_and_loops(spark):
     out = export.export_flowgraph(hierarchy.merge_table(walk), walk, v, a, b, 0.02, orig=orig, steps=step, flowpaths="flowattr", diedge_stats=more)
     names = ("has_original", "original_type", "weight", "mark", "flowpaths", "walkpermweight_median", "walkweight")
     assert {n + end for n in names for end in ("", "_rev")} <= set(out["edges"].columns)
-    assert {r.original_type for r in out["edges"].collect()} == {"x"} and out["diedges"].where("kind = 'walk' and mark <> source").isEmpty()
+    assert {r.original_type for r in out["edges"].collect()} == {"x"} and out["diedges"].where("flow is null and mark <> source").isEmpty()
     loops = {r.vertex: (r.loops_through or [], r.nloops_through) for r in out["vertices"].where("is_source").collect()}
     comp = {r.vertex: r.component for r in out["vertices"].collect()}
     assert loops and all(x == ([t for t in (1, 2, 3, 4) if comp.get(t) == comp[s]], len(x[0])) for s, x in loops.items()) and any(n for _, n in loops.values())
+
+
+def test_export_by_hand(spark):
+    """A graph with a loop inside a component, an edge with its reverse, a tie of both directions and a traced vertex outside."""
+    w = graphs.edges(spark, [(1, 2, 9), (2, 1, 5), (2, 3, 6), (3, 2, 2), (4, 5, 7), (5, 4, 7), (1, 9, 3), (9, 3, 4)])
+    v, a, b = vertices(spark, 9), *(spark.createDataFrame([(k,) for k in x], "vertex long") for x in ([1, 4], [2, 3, 5]))
+    steps = graphs.edges(spark, [(2, 8, 9), (8, 3, 9), (2, 3, 1)])
+    merge = hierarchy.merge_table(w)
+    out = export.export_flowgraph(merge, w, v, a, b, 5.0, steps=steps, flowpaths="stepedges")
+    assert {(r.component, r.component0, r.nvertices, r.is_used) for r in out["components"].collect()} == {(1, 1, 2, True), (3, 3, 1, True), (4, 4, 2, True), *((k, k, 1, False) for k in (6, 7, 8, 9))}
+    d = {(r.source, r.target, r.flow): (r.walkweight, r.walkweight_rev, r.flowlen, r.floweight) for r in out["diedges"].collect()}
+    assert d == {
+        (1, 2, None): (9, 5, None, None), (2, 1, None): (5, 9, None, None), (2, 3, None): (6, 2, None, None), (4, 5, None): (7, 7, None, None), (5, 4, None): (7, 7, None, None), (2, 8, "trace"): (None,) * 4, (8, 3, "trace"): (None,) * 4,
+        (1, 2, "loop"): (5, 5, 0, 9), (1, 3, "flow"): (5, 5, 1, 6), (4, 5, "loop"): (5, 5, 0, 7),
+    }
+    e = {(r.source, r.target): (r.has_flow, r.has_trace, r.has_walk, r.walkweight, r.walkweight_rev) for r in out["edges"].collect()}
+    assert e == {(1, 2): (True, False, True, 9, 5), (2, 3): (False, False, True, 6, None), (4, 5): (True, False, True, 7, None), (5, 4): (False, False, True, 7, None), (2, 8): (False, True, True, None, None), (8, 3): (False, True, True, None, None)}
+    x = {r.vertex: r for r in out["vertices"].collect()}
+    assert sorted(x) == [1, 2, 3, 4, 5, 8] and [k for k in x if x[k].is_steptrace] == [8] and x[8].component == 0 and x[3].component == 3
+    assert [(p.vertex, p.flowlen) for p in x[1].flows_to] == [(2, 0), (3, 1)] and x[1].nflows_to == 2 and x[1].loops_through == [2] and x[1].nloops_through == 1 and x[2].flows_to is None and x[3].nflows_from == 1
+    with_flows = export.export_flowgraph(merge, w, v, a, b, 5.0, flow_edges=True, exported_sinks=spark.createDataFrame([(3,)], "vertex long"))
+    assert {(r.source, r.target) for r in with_flows["edges"].where("not has_walk").collect()} == {(1, 3)} and {r.vertex for r in with_flows["vertices"].where("is_sink").collect()} == {3}
+    assert with_flows["diedges"].where("flow = 'loop'").isEmpty()
+    few = export.export_flowgraph(merge, w, v, a, b, 5.0, steps=steps, flowpaths="stepedges", step_sources=a, step_sinks=b)
+    assert few["diedges"].where("flow = 'trace'").isEmpty()  # no source has a traced way
+    with pytest.raises(ValueError):
+        export.export_flowgraph(merge, w, v, a, b, 5.0, flowpaths="stepedges")
+
+
+def test_exact_tail():
+    r = random.Random(5)
+    for _ in range(30):
+        x = [r.randrange(6) for _ in range(8)]
+        twice = [2 * sum(y < v for y in x) + sum(y == v for y in x) + 1 for v in x]
+        got = sum(twice[:3])
+        want = sum(sum(c) >= got for c in itertools.combinations(twice, 3)) / math.comb(8, 3)
+        kinds = sorted(set(twice))
+        assert scalar.exact_tail(kinds, [twice.count(k) for k in kinds], 3, got) == pytest.approx(want)
+
+
+def test_extremes_without_permutations(spark):
+    """Thresholds of bins that the permutations lack stay, with a null quantile."""
+    rows = spark.createDataFrame([(1.0, 1, 5.0), (2.0, 2, 7.0)], "threshold double, threshold_bin int, nflows double")
+    agg = spark.createDataFrame([(1, 1.5, 0.5, 4.0)], "threshold_bin int, threshold_binmid double, quantile double, nflows double")
+    out = {(r.quantile, r.stat, r.value_type): r for r in stats.extreme_treecut_stats(rows, agg).collect()}
+    assert {q for q, *_ in out} == {None, 0.5} and out[None, "min", "opt"].threshold == 2.0 and out[None, "min", "opt"].permuted_value is None
+
+
+def test_component_stats_of_permutations(spark):
+    cut = spark.createDataFrame([(1, 1), (1, 2), (3, 3)], "component long, vertex long")
+    v = spark.createDataFrame([(1, 1.0, 2.0, True), (2, 3.0, 4.0, False), (3, 5.0, 6.0, True)], "vertex long, weight double, walkweight double, is_hit boolean")
+    p = spark.createDataFrame([(k, i, float(i * k), float(i + k)) for k in (1, 2, 3) for i in (1, 2, 3)], "perm int, vertex long, weight double, walkweight double")
+    r = {x.component: x for x in stats.component_stats(cut, v, p, weight_tests=True, mannwhitney_tests=True).collect()}
+    assert (r[1].weight_mean, r[1].weight_median, r[1].permweight_mean, r[1].permweight_median, r[1].walkpermweight_mean, r[1].nhits) == (2, 2, 3, 2.5, 3.5, 1)
+    assert r[1].pvalue_walkweight_fisher == pytest.approx(1.0) and r[3].pvalue_walkweight_fisher == pytest.approx(2 / 3) and r[3].pvalue_weight_mw == pytest.approx(0.75)
+
+
+def test_refused_arguments(spark):
+    e, v = graphs.tarjan_graph(spark), vertices(spark, 5)
+    with pytest.raises(ValueError):
+        edges.check_vertices(e, v)
+    with pytest.raises(ValueError):
+        edges.condense(e, v.withColumn("part", F.lit(1)), check=True)
+    with pytest.raises(ValueError):
+        scalar.reset_parts(F.lit(3), 2)
+    with pytest.raises(ValueError):
+        permute.vertexbins(e, v, method="other")
+    with pytest.raises(ValueError):
+        flows.trace_flows(e, e, v, v, EdgeTest(), EdgeTest(), -1)
+    assert edges.empty_edges(spark).isEmpty() and EdgeTest(skipval=None, rev=True).default == math.inf and EdgeTest().default == 0
+    assert {(r.src, r.dest) for r in spark.range(1, 10).select(*(c.alias(n) for c, n in zip(edges.diedge_ends(F.col("id"), 3), ("src", "dest"), strict=True))).collect()} == set(itertools.product((1, 2, 3), repeat=2))
+
+
+def test_shared_folder(spark, monkeypatch):
+    from lumigraph import tables
+
+    class Far:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(ValueError):
+        tables.shared_dir(Far)
