@@ -5,28 +5,18 @@ Intermediate tables go to the folder that ``spark.checkpoint.dir`` names, so tha
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_own_dir: str | None = None
-
+from ..tables import remove, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one where none is set, as in tests."""
-    global _own_dir
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="shared-")
-    return f"file://{_own_dir}"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Scratch:
@@ -52,10 +42,8 @@ class Scratch:
         return self.spark.read.schema(schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm = self.spark._jvm
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            remove(self.spark, self.path(name))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +80,9 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     for low in maps[1:]:
         low = low.withColumnRenamed("id", "via")
         out = out.join(low, out.component == low.via, "left").select("id", F.coalesce("low", "component").alias("component"))
-    return scratch.save(out, f"{name}-out")
+    out = scratch.save(out, f"{name}-out")
+    scratch.drop(*[f"{name}-m{k}" for k in range(len(maps))], f"{name}-e{len(maps)}")
+    return out
 
 
 def _local_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,5 +233,21 @@ def text_batches(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Ite
         yield ids, texts
 
 
+def row_batches(batches: Iterator[pa.RecordBatch], at: int, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Batches of whole rows with about ``limit`` bytes of text in column ``at`` (or one longer text), and those texts; a null text is empty."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+        lo, size = 0, 0
+        for i, n in enumerate(sizes.tolist()):
+            if i > lo and size + n > limit:
+                part = batch.slice(lo, i - lo)
+                yield part, [t or b"" for t in part.column(at).cast(pa.binary()).to_pylist()]
+                lo, size = i, 0
+            size += n
+        if lo < batch.num_rows:
+            part = batch.slice(lo)
+            yield part, [t or b"" for t in part.column(at).cast(pa.binary()).to_pylist()]
+
+
 def record(names_arrays: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in names_arrays.values()], names=list(names_arrays))
