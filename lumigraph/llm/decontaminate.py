@@ -14,8 +14,8 @@ Passages are ``2 L`` words long and start every ``L`` words, where ``L`` is the
 
 The index is broadcast in slices of about ``slice_items`` items, each scanned on its own, so its size is bounded whatever the benchmark's. Item count, mean length, longest item
 and document frequencies are those of the whole benchmark, so scores don't depend on the slices.
-Defined cases: items without words (null, blank) are not indexed; null and empty texts retrieve nothing; equal items are all reported; repeated rows of a document are reported once;
-rows with a null doc_id are never reported and, in filtering, kept; empty tables give no rows.
+Defined cases: items without words (null, blank, signs only) are not indexed; null and empty texts retrieve nothing; equal items are all reported; repeated rows of a document are reported once;
+rows with a null doc_id are never reported. ``drop_contaminated`` judges every row by its own text, whatever its doc_id, and keeps all columns; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -26,10 +26,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, join_texts, record, shingles, text_batches, words
+from ._common import Scratch, join_texts, record, row_batches, shingles, text_batches, words
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
@@ -43,6 +44,11 @@ def split_item(text: str) -> tuple[str, str]:
     return (text[: ends[-1]], text[ends[-1] :]) if ends else (text, "")
 
 
+def has_words(text: str | None) -> bool:
+    """Whether a text has a sign that words are made of: an ASCII letter or digit or anything beyond ASCII."""
+    return bool(text) and any(c.isalnum() or c >= "\x80" for c in text)
+
+
 def item_terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Item, term and frequency of every different term of every item, and the items' numbers of words."""
     h, owner, _, _ = words(*join_texts([t.lower().encode() for t in texts]), True)
@@ -61,10 +67,13 @@ class Corpus(NamedTuple):
 
 
 class Index:
-    """BM25 impacts by term, with block maxima, and the items' shingles. Without ``corpus`` the items are the whole benchmark."""
+    """BM25 impacts by term, with block maxima, and the items' shingles, for scores of at least ``threshold``. Without ``corpus`` the items are the whole benchmark."""
 
-    def __init__(self, items: list[tuple[int, str]], corpus: Corpus | None = None):
-        items = [(i, t) for i, t in items if t and t.split()]
+    def __init__(self, items: list[tuple[int, str]], corpus: Corpus | None = None, threshold: float = THRESHOLD):
+        if threshold <= 0:
+            raise ValueError("the threshold must be positive")
+        items = [(i, t) for i, t in items if has_words(t)]
+        self.threshold = threshold
         self.ids = np.array([i for i, _ in items], np.int64)
         n = len(items)
         item, term, tf, length = item_terms([t for _, t in items])
@@ -85,14 +94,14 @@ class Index:
         keys, at = np.unique(key, return_index=True)
         self.block, self.block_max = keys % max(n_blocks, 1), np.maximum.reduceat(self.impact, at) if len(at) else np.zeros(0)
         self.block_first = np.searchsorted(keys // max(n_blocks, 1), np.arange(len(self.terms) + 1))
-        # Common terms: the most frequent ones whose block maxima together stay below SLACK in every block.
+        # Common terms: the most frequent ones whose block maxima together stay below SLACK of the threshold in every block. So a block without a rare term can't reach the threshold.
         rank = np.argsort(-df, kind="stable")
         rest, common = np.zeros(max(n_blocks, 1)), np.zeros(len(self.terms), bool)
         for t in rank:
             lo, hi = self.block_first[t], self.block_first[t + 1]
             add = rest.copy()
             add[self.block[lo:hi]] += self.block_max[lo:hi]
-            if add.max() > SLACK * THRESHOLD:
+            if add.max() > SLACK * threshold:
                 break
             rest, common[t] = add, True
         self.common, self.common_max = common, rest
@@ -104,8 +113,9 @@ class Index:
         self.maybe = np.zeros(1 << 18, bool)
         self.maybe[(self.terms & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
 
-    def retrieve(self, passage: np.ndarray, h: np.ndarray, n_passages: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(passage, item, score) of all items with at least the threshold."""
+    def retrieve(self, passage: np.ndarray, h: np.ndarray, n_passages: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(passage, item, score) of all items with at least the index's threshold."""
+        threshold = self.threshold
         none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         hit = self.maybe[(h & np.uint64((1 << 18) - 1)).astype(np.int64)]
         passage, h = passage[hit], h[hit]
@@ -147,7 +157,7 @@ def _expand(owner: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarr
     return np.repeat(owner, n), np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
 
 
-def scan(index: Index, texts: list[bytes], threshold: float, min_overlap: float, min_part: float = 0.5) -> list[tuple[int, int, float, float, float]]:
+def scan(index: Index, texts: list[bytes], min_overlap: float, min_part: float = 0.5) -> list[tuple[int, int, float, float, float]]:
     """(text, item place, score, question overlap, answer overlap) of verified items."""
     if not len(index.ids):
         return []
@@ -161,7 +171,7 @@ def scan(index: Index, texts: list[bytes], threshold: float, min_overlap: float,
     own = base[owner] + rank // step
     # A word lies in the passage that starts at its step and in the one before.
     again = rank >= step
-    p, item, score = index.retrieve(np.concatenate([own, own[again] - 1]), np.concatenate([h, h[again]]), int(n_pass.sum()), threshold)
+    p, item, score = index.retrieve(np.concatenate([own, own[again] - 1]), np.concatenate([h, h[again]]), int(n_pass.sum()))
     if not len(p):
         return []
     text = np.repeat(np.arange(len(texts)), n_pass)[p]
@@ -205,7 +215,7 @@ def _slice_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (slice, text) of items: slice and term of all different terms of an item, and a row without a term with its number of words."""
     for batch in batches:
         of, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-        kept = [k for k, t in enumerate(texts) if t.split()]
+        kept = [k for k, t in enumerate(texts) if has_words(t)]
         if not kept:
             continue
         of = of[kept]
@@ -228,31 +238,58 @@ def slice_statistics(rows: DataFrame, slices: int, scratch: Scratch) -> Iterator
     scratch.drop("terms", "frequencies")
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, min_overlap: float = 0.8, slice_items: int = 4096) -> DataFrame:
-    """doc_id, item_id, score, question_overlap, answer_overlap for every document (doc_id, text) and item (item_id, text) it holds."""
-    spark = docs.sparkSession
+def indexes(benchmark: DataFrame, threshold: float, slice_items: int) -> list[Broadcast]:
+    """The index in slices of about slice_items items, with the statistics of the whole benchmark."""
+    spark = benchmark.sparkSession
     rows = benchmark.where("item_id is not null and text is not null").select("item_id", "text", F.pmod(F.xxhash64("item_id"), F.lit(1 << 20)).alias("k"))
-    n = rows.count()
-    slices = max(1, -(-n // slice_items))
-    out = None
+    slices = max(1, -(-rows.count() // slice_items))
+    found = []
     for s, corpus in enumerate(slice_statistics(rows, slices, Scratch(spark, "decontaminate")) if slices > 1 else [None]):
         part = rows.where(F.pmod("k", F.lit(slices)) == s)
-        index = spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()], corpus))  # about slice_items rows
+        found.append(spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()], corpus, threshold)))  # about slice_items rows
+    return found
+
+
+def folded(text: bytes) -> bytes:
+    return text.decode(errors="replace").lower().encode()
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, min_overlap: float = 0.8, slice_items: int = 4096) -> DataFrame:
+    """doc_id, item_id, score, question_overlap, answer_overlap for every document (doc_id, text) and item (item_id, text) it holds."""
+    out = None
+    for index in indexes(benchmark, threshold, slice_items):
 
         def find(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for ids, texts in text_batches(batches, 2 << 20):
-                found = scan(index.value, [t.decode().lower().encode() for t in texts], threshold, min_overlap)
+                found = scan(index.value, [folded(t) for t in texts], min_overlap)
                 yield record({"doc_id": pa.array([ids[t] for t, *_ in found], pa.int64()), "item_id": pa.array([int(index.value.ids[i]) for _, i, *_ in found], pa.int64()), **{name: pa.array([x[k] for x in found], pa.float64()) for k, name in ((2, "score"), (3, "question_overlap"), (4, "answer_overlap"))}})
 
-        hits = docs.select("doc_id", "text").mapInArrow(find, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+        hits = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(find, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
         out = hits if out is None else out.union(hits)
-    return out.where("doc_id is not null").groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("question_overlap").alias("question_overlap"), F.max("answer_overlap").alias("answer_overlap"))
+    return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max("question_overlap").alias("question_overlap"), F.max("answer_overlap").alias("answer_overlap"))
+
 
+#: Slices of the index that one pass over the documents holds in memory.
+SLICES_A_PASS = 4
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """Rows of docs, all columns, that hold no benchmark item."""
-    bad = find_contamination(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, min_overlap: float = 0.8, slice_items: int = 4096) -> DataFrame:
+    """Rows of docs, all columns, whose text holds no benchmark item. Rows are dropped where they are read: nothing is shuffled."""
+    at = docs.columns.index("text")
+    found = indexes(benchmark, threshold, slice_items)
+    out = docs
+    for lo in range(0, len(found), SLICES_A_PASS):
+
+        def keep(batches: Iterator[pa.RecordBatch], part=found[lo : lo + SLICES_A_PASS]) -> Iterator[pa.RecordBatch]:
+            for batch, texts in row_batches(batches, at, 2 << 20):
+                texts = [folded(t) for t in texts]
+                good = np.ones(len(texts), bool)
+                for index in part:
+                    good[[t for t, *_ in scan(index.value, texts, min_overlap)]] = False
+                yield batch.filter(pa.array(good))
+
+        out = out.mapInArrow(keep, docs.schema)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
