@@ -1,15 +1,15 @@
 """Language identification with a blended-spectrum string kernel.
 
-The kernel of two texts counts the 1- to ``N_MAX``-byte n-grams that both hold (presence, not frequency), divided by the root of the
-product of their own counts. Landmarks drawn from the training rows give a Nyström map: K(text, landmarks) K(landmarks, landmarks)^-1/2.
-One ridge regression for each language against the rest is solved on the mapped training rows; whole texts are then scored in
-batches by two matrix products. N-grams are of UTF-8 bytes with A-Z lower-cased and digits as spaces; a text of any length is read whole.
+The kernel of two texts counts the different 1- to ``N_MAX``-byte n-grams that both hold (presence, not frequency), divided by the root of the product of their own counts of different
+n-grams. Landmarks drawn from the training rows give a Nyström map: K(text, landmarks) K(landmarks, landmarks)^-1/2. One ridge regression for each language against the rest is
+solved on the mapped training rows; whole texts are then scored in batches by two matrix products. N-grams are of UTF-8 bytes with A-Z lower-cased and digits and blanks as spaces, all told
+apart by their bytes: those of the landmarks are a vocabulary with a place each, the others count for a text's own number. A text of any length is read whole, in parts of ``PART_BYTES``.
 
-Learning uses at most ``per_lang`` training texts of each language, those with the smallest hash, and at most ``landmarks`` landmarks: bounds that don't grow with the corpus. It runs on the
-driver over these rows only.
+Learning uses at most ``per_lang`` training texts of each of the ``max_langs`` most frequent languages, those with the smallest hash among those of at most ``max_bytes``, and at most ``landmarks``
+landmarks: bounds that don't grow with the corpus. It runs on the driver over these rows only.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 1; without any training row all texts are ``und``; an empty table gives no rows; null languages are not learned;
-repeated rows are scored each; rows with a null doc_id count as not held out.
+repeated rows are scored each; rows with a null doc_id count as not held out; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -23,51 +23,129 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import mix64, record
+from ._common import record, row_batches
 
 N_MAX = 4
-#: N-gram features: those of the landmarks, folded to this many places.
-FEATURES = 1 << 15
+PART_BYTES = 1 << 18
 LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[9:14] = 32
 _FOLD[48:58] = 32
-
-
-def presence(texts: list[bytes], features: int = FEATURES) -> np.ndarray:
-    """0/1 matrix of texts by folded n-grams."""
-    out = np.zeros((len(texts), features), np.float32)
-    buf = np.frombuffer(b"  ".join(texts) + b"  ", np.uint8)
-    n = len(buf)
-    owner = np.repeat(np.arange(len(texts), dtype=np.int64) * features, [len(t) + 2 for t in texts])
-    code = _FOLD[buf].astype(np.uint32)
-    flat = out.reshape(-1)
-    acc = code.copy()
-    mask = np.uint32(features - 1)
-    for k in range(1, N_MAX + 1):
-        if k > 1:
-            acc = acc[: n - k + 1] * np.uint32(0x01000193) ^ code[k - 1 :]
-        if len(acc):
-            h = (acc + np.uint32(k * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(0x85EBCA6B)
-            h ^= h >> np.uint32(15)
-            flat[owner[: len(h)] + (h & mask)] = 1.0
-    return out
-
-
-def kernel(x: np.ndarray, marks: np.ndarray, marks_norm: np.ndarray) -> np.ndarray:
-    return (x @ marks.T) / (np.sqrt(np.maximum(x.sum(1), 1.0))[:, None] * marks_norm[None, :])
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _slots(keys: np.ndarray, bits: int) -> np.ndarray:
+    return ((keys * _SPREAD) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """The different keys, in no special order. Each claims a slot; a key that finds another one there is compared by sorting."""
+    if not len(keys):
+        return keys
+    bits = max(10, int(len(keys)).bit_length() + 1)
+    slot = _slots(keys, bits)
+    owner = np.empty(1 << bits, np.int32)
+    owner[slot] = np.arange(len(keys), dtype=np.int32)
+    of = owner[slot]
+    first = of == np.arange(len(keys))
+    apart = keys[of] != keys
+    return np.concatenate([keys[first], np.unique(keys[apart])]) if apart.any() else keys[first]
+
+
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(text, n-gram) of all different n-grams of each text; an n-gram is its bytes and, above them, its length."""
+    held: list[np.ndarray] = []  # the same n-gram may be in several where a text is in several
+    group: list[tuple[int, bytes]] = []
+    size = 0
+
+    def flush() -> None:
+        if group:
+            buf = _FOLD[np.frombuffer(b"".join(t for _, t in group), np.uint8)].astype(np.uint64)
+            lengths = [len(t) for _, t in group]
+            owner = np.repeat(np.array([i for i, _ in group], np.uint64), lengths)
+            left = np.concatenate([np.arange(n, 0, -1) for n in lengths])  # bytes from each place to the end of its part
+            code, keys = np.zeros(len(buf), np.uint64), []
+            for n in range(1, N_MAX + 1):
+                code = (code[: len(buf) - n + 1] << np.uint64(8)) | buf[n - 1 :]
+                whole = left[: len(code)] >= n
+                keys.append(((owner[: len(code)] << np.uint64(35)) | np.uint64(n << 32) | code)[whole])
+            held.append(distinct(np.concatenate(keys)))
+            group.clear()
+        if len(held) > 8:
+            held[:] = [distinct(np.concatenate(held))]
+
+    for i, t in enumerate(texts):
+        for lo in range(0, max(1, len(t)), PART_BYTES):
+            part = t[lo : lo + PART_BYTES + N_MAX - 1]  # n-grams across the cut belong to the part before
+            if part:
+                group.append((i, part))
+                size += len(part)
+            if size >= PART_BYTES:
+                flush()
+                size = 0
+    flush()
+    keys = held[0] if len(held) == 1 else distinct(np.concatenate(held)) if held else np.zeros(0, np.uint64)
+    return (keys >> np.uint64(35)).astype(np.int64), keys & np.uint64((1 << 35) - 1)
+
+
+class Vocabulary:
+    """Places of known n-grams, found through slots; n-grams that share a slot are looked up in order."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.unique(keys)
+        self.bits = max(10, int(4 * len(self.keys)).bit_length())
+        slot = _slots(self.keys, self.bits)
+        self.table = np.full(1 << self.bits, -1, np.int32)
+        self.table[slot] = np.arange(len(self.keys), dtype=np.int32)
+        self.shared = np.zeros(1 << self.bits, bool)
+        self.shared[slot[self.table[slot] != np.arange(len(self.keys))]] = True
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 if it is not known."""
+        slot = _slots(keys, self.bits)
+        at = self.table[slot].astype(np.int64)
+        known = at >= 0
+        known[known] = self.keys[at[known]] == keys[known]
+        at[~known] = -1
+        again = np.flatnonzero(~known & self.shared[slot])
+        if len(again):
+            found = np.searchsorted(self.keys, keys[again])
+            found[found == len(self.keys)] = 0
+            real = self.keys[found] == keys[again]
+            at[again[real]] = found[real]
+        return at
 
 
 class Model:
-    def __init__(self, langs: list[str], marks: np.ndarray, weights: np.ndarray):
-        self.langs, self.marks, self.weights = langs, marks, weights
-        self.norm = np.sqrt(np.maximum(marks.sum(1), 1.0))
+    """Landmarks as a 0/1 matrix of n-grams by landmarks, and one column of weights for each language."""
+
+    def __init__(self, landmarks: list[bytes]):
+        of, gram = grams(landmarks)
+        self.vocabulary = Vocabulary(gram)
+        self.marks = np.zeros((len(self.vocabulary.keys), len(landmarks)), np.uint8)
+        self.marks[self.vocabulary.places(gram), of] = 1
+        self.norm = np.sqrt(np.maximum(self.marks.sum(0, dtype=np.int64), 1))
+        self.langs: list[str] = []
+        self.weights = np.zeros((len(landmarks) + 1, 0))
+
+    def kernel(self, texts: list[bytes]) -> np.ndarray:
+        """Texts by landmarks. Only n-grams that a batch holds take part in its product."""
+        of, gram = grams(texts)
+        own = np.bincount(of, minlength=len(texts))
+        at = self.vocabulary.places(gram)
+        of, at = of[at >= 0], at[at >= 0]
+        used = np.zeros(len(self.marks), bool)
+        used[at] = True
+        column = np.cumsum(used) - 1
+        present = np.zeros((len(texts), int(used.sum())), np.float32)
+        present[of, column[at]] = 1
+        return (present @ self.marks[used].astype(np.float32)) / (np.sqrt(np.maximum(own, 1))[:, None] * self.norm[None, :])
 
     def predict(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Best language and a score from the softmax over the regressions."""
-        k = kernel(presence(texts, self.marks.shape[1]), self.marks, self.norm)
-        y = np.hstack([k, np.ones((len(k), 1), np.float32)]).astype(np.float64) @ self.weights
+        k = self.kernel(texts)
+        y = np.hstack([k, np.ones((len(k), 1))]) @ self.weights
         e = np.exp((y - y.max(1, keepdims=True)) * 4)
         p = e / e.sum(1, keepdims=True)
         best = p.argmax(1)
@@ -75,56 +153,55 @@ class Model:
 
 
 def fit(rows: list[tuple[bytes, str]], landmarks: int = 192, ridge: float = 1e-2) -> Model | None:
-    """rows: (text, lang), in a fixed order."""
+    """rows: (text, lang), in a fixed order. At most ``landmarks`` of them, spread over the languages, are landmarks."""
     langs = sorted({lang for _, lang in rows})
     if not langs:
         return None
     by = {lang: [t for t, x in rows if x == lang] for lang in langs}
-    chosen = [t for lang in langs for t in by[lang][: max(1, landmarks // len(langs))]]
-    marks = presence(chosen)
-    norm = np.sqrt(np.maximum(marks.sum(1), 1.0))
-    km = kernel(marks, marks, norm).astype(np.float64)
-    values, vectors = np.linalg.eigh(km)
+    turns = [by[lang][k] for k in range(max(len(x) for x in by.values())) for lang in langs if k < len(by[lang])]
+    model = Model(turns[:landmarks])
+    km = model.kernel(turns[:landmarks])
+    values, vectors = np.linalg.eigh((km + km.T) / 2)
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    phi = np.vstack([kernel(presence([t for t, _ in rows[i : i + 64]]), marks, norm) for i in range(0, len(rows), 64)]).astype(np.float64) @ root
+    phi = np.vstack([model.kernel([t for t, _ in rows[i : i + 64]]) for i in range(0, len(rows), 64)]) @ root
     phi = np.hstack([phi, np.ones((len(phi), 1))])
     y = np.array([[1.0 if lang == x else -1.0 for x in langs] for _, lang in rows])
     # Languages weigh the same however many rows they have.
     w = np.array([1.0 / len(by[lang]) for _, lang in rows]) * len(rows) / len(langs)
     a = (phi * w[:, None]).T @ phi + ridge * len(rows) * np.eye(phi.shape[1]) * 0.01
     beta = np.linalg.solve(a, (phi * w[:, None]).T @ y)
-    return Model(langs, marks, np.vstack([root @ beta[:-1], beta[-1:]]))
+    model.langs, model.weights = langs, np.vstack([root @ beta[:-1], beta[-1:]])
+    return model
 
 
-def train_rows(docs: DataFrame, per_lang: int) -> list[tuple[bytes, str]]:
-    """At most per_lang rows of each language, whole texts, smallest hashes first."""
-    ok = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
+def train_rows(docs: DataFrame, per_lang: int, max_langs: int, max_bytes: int) -> list[tuple[bytes, str]]:
+    """At most per_lang rows of each of the max_langs most frequent languages (ties: by name), whole texts of at most max_bytes, smallest hashes first."""
+    ok = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= max_bytes))
+    ok = ok.withColumn("h", F.xxhash64("text"))
+    langs = ok.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).select("lang")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h"))
-    picked = ok.select("doc_id", "lang", F.xxhash64("text").alias("h")).withColumn("rank", rank).where(F.col("rank") <= per_lang).select("doc_id", "lang", "h", "rank").distinct()
-    found = ok.withColumn("h", F.xxhash64("text")).join(F.broadcast(picked), ["doc_id", "lang", "h"]).select("lang", "rank", "text").collect()  # picked: per_lang rows a language
+    picked = ok.select("doc_id", "lang", "h").distinct().join(F.broadcast(langs), "lang").withColumn("rank", rank).where(F.col("rank") <= per_lang)
+    found = ok.join(F.broadcast(picked), ["doc_id", "lang", "h"]).select("lang", "rank", "text").dropDuplicates(["lang", "rank"]).collect()  # picked: per_lang rows a language
     return [(r.text.encode(), r.lang) for r in sorted(found, key=lambda r: (r.lang, r.rank))]
 
 
-def identify(docs: DataFrame, train: DataFrame, per_lang: int = 200, landmarks: int = 192) -> DataFrame:
+def identify(docs: DataFrame, train: DataFrame, per_lang: int = 200, landmarks: int = 192, max_langs: int = 256, max_bytes: int = 1 << 18) -> DataFrame:
     """doc_id, lang_pred, score for docs (doc_id, text), learned from train (doc_id, text, lang)."""
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit(train_rows(train, per_lang), landmarks))
+    model = spark.sparkContext.broadcast(fit(train_rows(train, per_lang, max_langs, max_bytes), landmarks))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 128):
-                part = texts[lo : lo + 128]
-                real = [i for i, t in enumerate(part) if t and LETTER.search(t)] if m else []
-                langs, scores = ["und"] * len(part), np.ones(len(part))
-                if real:
-                    best, p = m.predict([part[i].encode() for i in real])
-                    for i, b in zip(real, best, strict=True):
-                        langs[i] = m.langs[b]
-                    scores[real] = p
-                yield record({"doc_id": ids.slice(lo, 128), "lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores)})
+        for batch, texts in row_batches(batches, 1, PART_BYTES):
+            real = [i for i, t in enumerate(texts) if LETTER.search(t.decode(errors="replace"))] if m else []
+            langs, scores = ["und"] * len(texts), np.ones(len(texts))
+            if real:
+                best, p = m.predict([texts[i] for i in real])
+                for i, b in zip(real, best, strict=True):
+                    langs[i] = m.langs[b]
+                scores[real] = p
+            yield record({"doc_id": batch.column(0), "lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores)})
 
     return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, lang_pred string, score double")
 
