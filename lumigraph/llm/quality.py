@@ -2,10 +2,12 @@
 
 A document is a bag of passages (``PASSAGE_WORDS`` words each, all of them). Every passage is encoded as counts of hashed word shapes and byte classes plus surface ratios; a gated
 attention net (tanh times sigmoid) learned from document labels weighs the passages, and the weighted passage representation is scored.
-Plain NumPy, trained on the driver by Adam on at most ``max_train`` labelled documents (those with the smallest hash; a bound that doesn't grow with the corpus).
+Plain NumPy, trained on the driver by Adam on at most ``max_train`` labelled rows (those with the smallest hash among documents of at most ``max_bytes``: bounds that don't grow with the corpus).
+
+A text of more than ``PART_BYTES`` is scored in parts of whole passages: attention weights are kept relative to the largest seen so far, so the score is that of the whole text.
 
 Defined cases: null and empty texts have one empty passage and a score like any other; documents with several labels count once for each; null labels are not learned;
-without training rows every score is 0.5; an empty table gives no rows; repeated rows are scored each.
+without training rows every score is 0.5 (and every row is kept); an empty table gives no rows; repeated rows are scored each; a null doc_id is scored and kept like any; other columns are kept by ``keep_good`` and not read.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import join_texts, record, text_batches, words
+from ._common import _SPACE, join_texts, record, row_batches, words
 from .language import held_out
 
 PASSAGE_WORDS = 64
@@ -27,6 +29,7 @@ DIM = HASHED + CLASSES + 8
 HIDDEN = 16
 #: A document is predicted good from this score on.
 THRESHOLD = 0.3
+PART_BYTES = 1 << 20
 
 _CLASS = np.full(256, 13, np.uint8)  # other
 _CLASS[97:123] = 0
@@ -37,9 +40,27 @@ for _k, _chars in enumerate([b".", b",", b"!?", b"|", b"#$%&*", b"<>/\\=", b"@:"
     _CLASS[list(_chars)] = 4 + _k
 
 
-def encode_passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Passage features (passages by DIM) and the owning text of each; every text has one passage at least."""
-    buf, start = join_texts(texts)
+def passage_cuts(text: bytes, limit: int) -> tuple[list[int], int]:
+    """Where parts of about ``limit`` bytes of whole passages begin and the last ends, and the number of words. Words are counted a slice at a time."""
+    cuts, n, inside = [0], 0, False
+    for lo in range(0, len(text), limit):
+        buf = np.frombuffer(text, np.uint8, min(limit, len(text) - lo), lo)
+        word = ~_SPACE[buf]
+        opens = np.flatnonzero(word & ~np.r_[inside, word[:-1]])
+        inside = bool(word[-1])
+        first = opens[(np.arange(len(opens)) + n) % PASSAGE_WORDS == 0]
+        n += len(opens)
+        if len(first) and lo + first[-1] > cuts[-1]:
+            cuts.append(int(lo + first[-1]))
+    return [*cuts, len(text)], n
+
+
+def encode_passages(texts: list[bytes], words_of: np.ndarray | None = None, goes_on: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Passage features (passages by DIM) and the owning text of each; every text has one passage at least.
+
+    words_of: the numbers of words of the documents, where the texts are parts of them; goes_on: the only text is a part with more after it.
+    """
+    buf, start = (np.frombuffer(texts[0], np.uint8), np.array([0, len(texts[0])])) if goes_on else join_texts(texts)
     h, owner, first, end = words(buf, start)
     n_words = np.bincount(owner, minlength=len(texts))
     n_pass = np.maximum(1, -(-n_words // PASSAGE_WORDS))
@@ -80,8 +101,9 @@ def encode_passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     out[:, k + 4] = np.bincount(passage[(last >= 6) & (last <= 9)], minlength=total) / n
     lead = _CLASS[buf[first]] if len(first) else np.zeros(0, np.uint8)
     out[:, k + 5] = np.bincount(passage[lead == 1], minlength=total) / n
-    out[:, k + 6] = np.log1p(n_words[bag]) / 10
-    out[:, k + 7] = n_words[bag] == 0
+    total_words = n_words if words_of is None else words_of
+    out[:, k + 6] = np.log1p(total_words[bag]) / 10
+    out[:, k + 7] = total_words[bag] == 0
     return out, bag
 
 
@@ -145,19 +167,37 @@ class Mil:
         return self
 
     def score(self, texts: list[bytes]) -> np.ndarray:
+        if len(texts) == 1 and len(texts[0]) > PART_BYTES:
+            return self.score_long(texts[0])
         x, bag = encode_passages(texts)
         return self.forward(x, bag, len(texts))[0]
 
-
-def train_rows(docs: DataFrame, labels: DataFrame, max_train: int) -> list[tuple[bytes, int]]:
-    """At most max_train labelled documents, whole texts, smallest hashes first."""
-    picked = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_train)
-    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").collect()  # picked: at most max_train rows
-    return [((r.text or "").encode(), r.quality) for r in sorted(found, key=lambda r: (r.doc_id, r.quality, r.text or ""))][: 2 * max_train]
-
-
-def train(docs: DataFrame, labels: DataFrame, max_train: int = 2000) -> Mil | None:
-    rows = train_rows(docs, labels, max_train)
+    def score_long(self, text: bytes, limit: int = PART_BYTES) -> np.ndarray:
+        """The score of one text, a part at a time."""
+        p, (cuts, n_words) = self.p, passage_cuts(text, limit)
+        top, total, pooled = -np.inf, 0.0, np.zeros(len(p["o"]))
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            x, _ = encode_passages([text[lo:hi]], np.array([n_words]), hi < len(text))
+            h = np.tanh((x - self.mean) / self.scale @ p["E"] + p["e"])
+            a = (np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"])))) @ p["w"]
+            new = max(top, a.max())
+            e, old = np.exp(a - new), np.exp(top - new)
+            total, pooled, top = total * old + e.sum(), pooled * old + e @ h, new
+        return 1 / (1 + np.exp(-np.clip(pooled / total @ p["o"] + p["c"], -30, 30)))
+
+
+def train_rows(docs: DataFrame, labels: DataFrame, max_train: int, max_bytes: int) -> list[tuple[bytes, int]]:
+    """At most max_train labelled rows, whole texts of at most max_bytes, smallest hashes first."""
+    order = ["k", "doc_id", "quality"]
+    given = labels.where("doc_id is not null and quality is not null").select("doc_id", F.col("quality").cast("int").alias("quality"), F.xxhash64("doc_id").alias("k"))
+    picked = given.orderBy(*order).limit(max_train)
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= max_bytes)  # picked: at most max_train rows
+    rows = found.orderBy(*order, F.xxhash64("text"), "text").limit(max_train).collect()  # a doc_id may have many rows
+    return [((r.text or "").encode(), r.quality) for r in sorted(rows, key=lambda r: (r.doc_id, r.quality, r.text or ""))]
+
+
+def train(docs: DataFrame, labels: DataFrame, max_train: int = 2000, max_bytes: int = 1 << 18) -> Mil | None:
+    rows = train_rows(docs, labels, max_train, max_bytes)
     return Mil().fit([t for t, _ in rows], [q for _, q in rows]) if rows else None
 
 
@@ -166,9 +206,9 @@ def scorer(spark: SparkSession, model: Mil | None):
     shared = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, texts in text_batches(batches, 1 << 20):
+        for batch, texts in row_batches(batches, 1, PART_BYTES):
             y = shared.value.score(texts) if shared.value else np.full(len(texts), 0.5)
-            yield record({"doc_id": pa.array(ids, pa.int64()), "score": pa.array(y)})
+            yield record({"doc_id": batch.column(0), "score": pa.array(y)})
 
     return score
 
@@ -185,13 +225,8 @@ def keep_good(docs: DataFrame, labels: DataFrame, max_train: int = 2000, train_o
     at = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                texts = [t or b"" for t in part.column(at).cast(pa.binary()).to_pylist()]
-                if model.value is not None and texts:
-                    part = part.filter(pa.array(model.value.score(texts) >= THRESHOLD))
-                yield part
+        for batch, texts in row_batches(batches, at, PART_BYTES):
+            yield batch if model.value is None else batch.filter(pa.array(model.value.score(texts) >= THRESHOLD))
 
     return docs.mapInArrow(keep, docs.schema)
 
