@@ -11,6 +11,9 @@ Suffixes are told apart only through ``length`` bytes, most significant digit fi
 Digits are 64-bit fingerprints (40 bits where a digit only filters). Documents are packed in chunks of a few MB; a digit travels once for each chunk and bucket with its smallest document, so a passage found in a third of all
 documents is sent once by each chunk and sorted with all others of its bucket. Each pass is a table in the shared folder.
 
+Texts of more than ``PIECE_BYTES`` are cut into pieces that overlap by ``length`` - 1 bytes, so every window lies whole in the piece it starts in; pieces are rows of one doc_id and so don't remove each other's
+bytes. What the pieces lose is put together for each such text at the end. Buckets hold what about ``BUCKET_BYTES`` of text send, whatever the size of the corpus.
+
 Defined cases: null and empty texts have no bytes and no windows; texts shorter than ``length`` keep everything; rows of one doc_id don't remove each other's bytes; rows with a null doc_id are
 left out; an empty table gives no rows. Other columns aren't read.
 """
@@ -30,6 +33,8 @@ from ._common import _BYTE, _MULT, Scratch, _powers, mix64, record, shuffle_buck
 
 GRAM = 24
 CHUNK_BYTES = 4_000_000
+PIECE_BYTES = 2_000_000
+BUCKET_BYTES = 64_000_000
 _U = np.uint64
 
 
@@ -290,32 +295,64 @@ def match_windows(blobs: list[bytes]) -> list[bytes]:
     return [np.packbits(later[e - len(x) : e]).tobytes() for e, x in zip(ends, keys, strict=True)]
 
 
-def cleaned(text: Text, ids: np.ndarray, entries: Entries, windows: Windows, length: int):
-    """doc_id, n_bytes, n_removed, n_spans, kept bytes of every document."""
+def losses(text: Text, entries: Entries, windows: Windows, length: int) -> np.ndarray:
+    """Which bytes of a chunk go."""
     step = np.zeros(len(text.bytes) + 1, np.int32)
     np.add.at(step, entries.lo[entries.full], 1)
     np.add.at(step, entries.hi[entries.full] + length, -1)
     np.add.at(step, windows.start[windows.later], 1)
     np.add.at(step, windows.start[windows.later] + length, -1)
-    gone = np.cumsum(step[:-1]) > 0
-    for i, (first, n) in enumerate(zip(text.first, text.lengths, strict=True)):
-        out = gone[first : first + n]
-        yield int(ids[i]), int(n), int(out.sum()), int(out[:1].sum() + (out[1:] & ~out[:-1]).sum()), text.bytes[first : first + n][~out].tobytes()
+    return np.cumsum(step[:-1]) > 0
+
+
+def cleaned(doc_id: int, data: np.ndarray, gone: np.ndarray) -> tuple[int, int, int, int, bytes]:
+    """doc_id, n_bytes, n_removed, n_spans, kept bytes of a document."""
+    return doc_id, len(data), int(gone.sum()), int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum()), data[~gone].tobytes()
 
 
 # ---- Spark ------------------------------------------------------------------------------------------------------------
 
 
+def _cut(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """doc_id, text, row of long texts -> their pieces."""
+        for batch in batches:
+            for doc_id, text, row in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                for k, lo in enumerate(range(0, len(text), PIECE_BYTES)):
+                    yield record({"doc_id": pa.array([doc_id], pa.int64()), "data": pa.array([text[lo : lo + PIECE_BYTES + length - 1]], pa.binary()), "row": pa.array([row], pa.int64()), "piece": pa.array([k], pa.int32())})
+
+    return run
+
+
 def _pack(table: pa.Table) -> pa.Table:
-    data = [t or b"" for t in table.column("text").cast(pa.binary()).to_pylist()]
-    ids = table.column("doc_id").to_numpy()
-    return pa.table({"chunk": table.column("chunk").slice(0, 1), "ids": pa.array([ids.tobytes()], pa.binary()), "lengths": pa.array([np.array([len(t) for t in data], np.int64).tobytes()], pa.binary()), "data": pa.array([zstandard.ZstdCompressor(level=3).compress(b"".join(data))], pa.binary())})
+    data = [t or b"" for t in table.column("data").to_pylist()]
+    blob = lambda x: pa.array([x.tobytes()], pa.binary())
+    return pa.table({
+        "chunk": table.column("chunk").slice(0, 1), "ids": blob(table.column("doc_id").to_numpy()), "lengths": blob(np.array([len(t) for t in data], np.int64)), "data": pa.array([zstandard.ZstdCompressor(level=3).compress(b"".join(data))], pa.binary()),
+        "rows": blob(table.column("row").to_numpy()), "pieces": blob(table.column("piece").to_numpy()),
+    })
 
 
 def _unpack(ids: bytes, lengths: bytes, data: bytes) -> tuple[np.ndarray, Text]:
     return np.frombuffer(ids, np.int64), Text(zstandard.ZstdDecompressor().decompress(data), np.frombuffer(lengths, np.int64))
 
 
+def _put_together(output, length: int):
+    def run(table: pa.Table) -> pa.Table:
+        """The pieces of one text -> what ``output`` makes of it."""
+        order = np.argsort(table.column("piece").to_numpy())
+        data, gone = table.column("data").to_pylist(), table.column("gone").to_pylist()
+        n = PIECE_BYTES * (len(order) - 1) + len(data[order[-1]])
+        whole, lost = np.zeros(n, np.uint8), np.zeros(n, bool)
+        for k, i in enumerate(order):
+            lo = k * PIECE_BYTES
+            whole[lo : lo + len(data[i])] = np.frombuffer(data[i], np.uint8)
+            lost[lo : lo + len(data[i])] |= np.unpackbits(np.frombuffer(gone[i], np.uint8))[: len(data[i])].astype(bool)
+        return pa.Table.from_batches([output([cleaned(table.column("doc_id")[0].as_py(), whole, lost)])])
+
+    return run
+
+
 def _match(match):
     def run(table: pa.Table) -> pa.Table:
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "answer": pa.array(match(table.column("blob").to_pylist()), pa.binary())})
@@ -340,16 +377,27 @@ class _Pass:
                 if self.step == 1:
                     yield from self.rows(chunk, send_grams(text, self.length, self.buckets))
                     continue
-                entries = Entries(text, ids, self.length, self.buckets, _answers(row[4], row[5]))
+                entries = Entries(text, ids, self.length, self.buckets, _answers(row[6], row[7]))
                 if self.step == 2:
                     yield from self.rows(chunk, entries.send())
                     continue
-                windows = Windows(entries, entries.learn(_answers(row[6], row[7])), self.buckets)
+                windows = Windows(entries, entries.learn(_answers(row[8], row[9])), self.buckets)
                 if self.step == 3:
                     yield from self.rows(chunk, windows.send())
                     continue
-                windows.learn(_answers(row[8], row[9]))
-                yield self.output(cleaned(text, ids, entries, windows, self.length))
+                windows.learn(_answers(row[10], row[11]))
+                yield from self.results(text, ids, losses(text, entries, windows, self.length), np.frombuffer(row[4], np.int64), np.frombuffer(row[5], np.int32))
+
+    def results(self, text: Text, ids: np.ndarray, gone: np.ndarray, rows: np.ndarray, pieces: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """What ``output`` makes of whole texts, and the pieces of long ones with their lost bytes, side by side."""
+        part = lambda i: slice(text.first[i], text.first[i] + text.lengths[i])
+        whole, cut = np.flatnonzero(pieces < 0), np.flatnonzero(pieces >= 0)
+        if len(whole):
+            done = self.output([cleaned(int(ids[i]), text.bytes[part(i)], gone[part(i)]) for i in whole])
+            yield record({name: done.column(name) for name in done.schema.names} | {"row": pa.nulls(len(whole), pa.int64()), "piece": pa.nulls(len(whole), pa.int32()), "data": pa.nulls(len(whole), pa.binary()), "gone": pa.nulls(len(whole), pa.binary())})
+        if len(cut):
+            like = self.output([]).schema
+            yield record({f.name: pa.array(ids[cut]) if f.name == "doc_id" else pa.nulls(len(cut), f.type) for f in like} | {"row": pa.array(rows[cut]), "piece": pa.array(pieces[cut]), "data": pa.array([text.bytes[part(i)].tobytes() for i in cut], pa.binary()), "gone": pa.array([np.packbits(gone[part(i)]).tobytes() for i in cut], pa.binary())})
 
     @staticmethod
     def rows(chunk: int, blobs: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
@@ -379,20 +427,26 @@ def remove_repeats(docs: DataFrame, length: int = 50, output=digests, schema: st
         raise ValueError(f"length must be at least {GRAM + 2}")
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
-    docs = docs.where("doc_id is not null").select("doc_id", "text")
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    docs = docs.where("doc_id is not null").select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    size = F.octet_length("text")
+    total = docs.agg(F.sum(size)).first()[0] or 0
     chunks = max(8, -(-total // CHUNK_BYTES))
-    buckets = shuffle_buckets(spark)
-    table = scratch.save(docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks))).groupBy("chunk").applyInArrow(_pack, "chunk long, ids binary, lengths binary, data binary"), "chunks")
+    buckets = max(shuffle_buckets(spark), total // BUCKET_BYTES)
+    short = docs.where(text_is_short := F.coalesce(size, F.lit(0)) <= PIECE_BYTES).select("doc_id", F.col("text").cast("binary").alias("data"), "row", F.lit(-1).alias("piece"))
+    pieces = short.union(docs.where(~text_is_short).mapInArrow(_cut(length), "doc_id long, data binary, row long, piece int"))
+    dealt = pieces.withColumn("chunk", F.pmod(F.when(F.col("piece") < 0, F.xxhash64("doc_id")).otherwise(F.xxhash64("row", "piece")), F.lit(chunks)))
+    table = scratch.save(dealt.groupBy("chunk").applyInArrow(_pack, "chunk long, ids binary, lengths binary, data binary, rows binary, pieces binary"), "chunks")
     joined = table
     for step, match in ((1, match_grams), (2, match_runs), (3, match_windows)):
         sent = joined.mapInArrow(_Pass(length, buckets, step), "chunk long, bucket int, blob binary")
         answers = sent.groupBy("bucket").applyInArrow(_match(match), "chunk long, bucket int, answer binary")
         listed = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "answer")).alias("all")).select("chunk", F.col("all.bucket").alias(f"b{step}"), F.col("all.answer").alias(f"a{step}"))
         joined = joined.join(scratch.save(listed, f"answers{step}"), "chunk", "left")
-    out = scratch.save(joined.mapInArrow(_Pass(length, buckets, 4, output), schema), "result")
+    results = scratch.save(joined.mapInArrow(_Pass(length, buckets, 4, output), f"{schema}, row long, piece int, data binary, gone binary"), "result")
     scratch.drop("chunks", "answers1", "answers2", "answers3")
-    return out
+    columns = [c for c in results.columns if c not in ("row", "piece", "data", "gone")]
+    joined_up = results.where("piece is not null").groupBy("row").applyInArrow(_put_together(output, length), schema)
+    return results.where("piece is null").select(columns).union(joined_up.select(columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
