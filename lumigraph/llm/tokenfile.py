@@ -12,11 +12,12 @@ Layout of a segment, little endian: ``DAC1``, u32 ids, u32 levels, then for each
 bitmap (ceil(entries / 8) bytes, lowest bit first) and the directory (ceil(entries / RANK_STEP) u32).
 
 Defined cases: null and empty texts are the end id alone; a text may hold any marker literally (special strings are encoded as the tokenizer's
-defaults have it); equal doc_ids follow each other in no special order; rows with a null doc_id come first; an empty table gives no rows and no segments.
+defaults have it); equal doc_ids follow each other in the order of their ids' bytes; rows with a null doc_id come first; an empty table gives no rows and no segments; other columns aren't read.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -27,14 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Scratch, join_texts, record, slice_hashes
+from ._common import Scratch, join_texts, record, row_batches, slice_hashes
 
 CHUNK_BITS = 8
 RANK_STEP = 512
 SEGMENT_TOKENS = 1 << 18
 END_ID = 0
-#: Slots for pieces of texts with their ids in each Python worker (a power of two).
+#: Slots for pieces of texts with their ids in each Python worker (a power of two), and the bytes of a piece and the ids of all pieces that are kept.
 CACHE_SLOTS = 1 << 20
+CACHE_PIECE = 256
+CACHE_IDS = 1 << 23
+#: Bytes of text that are encoded in one go, or one longer text.
+BATCH_BYTES = 1 << 20
 
 
 def dac_encode(ids: np.ndarray) -> bytes:
@@ -134,10 +139,19 @@ def pieces(buf: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins)
 
 
+def _splits_bytes(path: str) -> bool:
+    """Whether a tokenizer is byte-level BPE without anything before or beside the splitter that ``pieces`` follows."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    before, model = told.get("pre_tokenizer") or {}, told.get("model") or {}
+    plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    return bool(plain and model.get("type") == "BPE" and not told.get("normalizer") and not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix"))
+
+
 class WordEncoder:
     """Encodes texts through the tokenizer piece by piece, each different piece once while it stays in a bounded table.
 
-    Byte-level BPE never merges across the pieces of its pre-tokenizer, so the pieces of a text are encoded alone as they are together. Texts with signs beyond Latin-1 or with a special string are encoded whole.
+    Byte-level BPE never merges across the pieces of its pre-tokenizer, so the pieces of a text are encoded alone as they are together. Texts with signs beyond Latin-1 or with a special string are encoded whole, and so are all texts of a tokenizer of another kind.
     Pieces are told apart by a 64-bit hash and their length; the table has a slot for each value of the hash's low bits, and the piece seen first keeps it.
     """
 
@@ -146,6 +160,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.by_piece = _splits_bytes(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.n_bytes = np.zeros(max(vocab.values(), default=0) + 1, np.int64)
@@ -189,6 +204,7 @@ class WordEncoder:
             _, lead = np.unique(mine, return_index=True)
             stays = np.zeros(len(fresh), bool)
             stays[lead] = self.free[mine[lead]]
+            stays &= (end[one] - first[one] <= CACHE_PIECE) & (self.held < CACHE_IDS)
             order = np.argsort(~stays, kind="stable")  # those that stay come first, the others' ids are overwritten next time
             whole = buf.tobytes().decode("latin-1")
             ids, n = self.encode_pieces([whole[a:b] for a, b in zip(first[one[order]].tolist(), end[one[order]].tolist(), strict=True)])
@@ -208,7 +224,7 @@ class WordEncoder:
         out: list = [None] * len(texts)
         apart, split = [], []
         for i, t in enumerate(texts):
-            if any(m in t for m in self.marks):
+            if not self.by_piece or any(m in t for m in self.marks):
                 apart.append(i)
                 continue
             try:
@@ -257,12 +273,11 @@ def encode_table(docs: DataFrame, path: str | None, end_id: int = END_ID) -> Dat
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(path or tokenizer_path())
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = encoder([t or "" for t in batch.column(1).slice(lo, 256).to_pylist()])
-                width, end = encoder.kind.itemsize, np.array([end_id], encoder.kind).tobytes()
-                blobs = [b"%d" % width + x + end for x in part]
-                yield record({"doc_id": batch.column(0).slice(lo, 256), "bucket": batch.column(2).slice(lo, 256), "n_tokens": pa.array([len(x) // width for x in blobs], pa.int64()), "ids": pa.array(blobs, pa.binary())})
+        for batch, texts in row_batches(batches, 1, BATCH_BYTES):
+            part = encoder([t.decode() for t in texts])
+            width, end = encoder.kind.itemsize, np.array([end_id], encoder.kind).tobytes()
+            blobs = [b"%d" % width + x + end for x in part]
+            yield record({"doc_id": batch.column(0), "bucket": batch.column(2), "n_tokens": pa.array([len(x) // width for x in blobs], pa.int64()), "ids": pa.array(blobs, pa.binary())})
 
     return docs.mapInArrow(encode, "doc_id long, bucket int, n_tokens long, ids binary")
 
@@ -302,7 +317,7 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, n_buckets:
         if held:
             yield flush()
 
-    ordered = encoded.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "doc_id")
+    ordered = encoded.repartition(n_buckets, "bucket").sortWithinPartitions("bucket", "doc_id", F.xxhash64("ids"), "ids")
     ordered.mapInArrow(pack, "bucket int, segment int, before long, doc_ids array<long>, lengths array<long>, n_ids long, dac binary").write.option("compression", "none").parquet(out)
 
 
