@@ -8,7 +8,7 @@ The as-of join runs on slim columns. A URL captured very often is cut into time
 latest response forward, across slices only one row a slice travels. Payloads are then fetched by record id.
 
 Defined cases: a revisit without earlier response, or whose validators differ from the latest one's, stays unresolved (payload null, ``resolved`` false);
-full responses pass as they are; null URLs and null times match nothing; among responses of the same time the largest record id is
+full responses pass as they are; of captures of one record_id at different times, and of different responses of one record_id, the first by time, then by content counts as the response others refer to; null URLs and null times match nothing; among responses of the same time the largest record id is
 latest, and a response at the revisit's own time counts as earlier if its id is smaller; repeated rows of a record are one record; an empty table gives no rows.
 """
 
@@ -18,31 +18,36 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ._common import Scratch
+
 #: Headers that a 304 answer may replace in the stored response (RFC 9110, 15.4.5, and RFC 9111, 3.2): fixed values.
 PERMITTED = ["cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary"]
 #: Query parameters that do not change what a URL names: fixed values.
-IGNORED_PARAMETERS = "utm_[a-z]+|gclid|fbclid|ref"
+IGNORED_PARAMETERS = "utm_[a-z]+|gclid|fbclid"
 SLICES = 256
 
 
-def canonical_url(url: Column) -> Column:
-    """Lower-case scheme and host, no default port, fragment, ignored parameters, ``www.`` or ``m.``; sorted parameters; no slash at the end; https as http."""
+def canonical_url(url: Column, ignored: str = IGNORED_PARAMETERS, fold_hosts: bool = False) -> Column:
+    """Lower-case host, no scheme (https as http), default port, fragment or ``ignored`` parameters; sorted parameters; no slash at the end. fold_hosts: ``www.`` and ``m.`` name the same pages as the bare host."""
     url = F.regexp_replace(F.trim(url), "#.*$", "")
     head = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://)?([^/?]*)", 2))
-    host = F.regexp_replace(F.regexp_replace(head, r":(80|443)$", ""), r"^(www|m)\.", "")
+    host = F.regexp_replace(head, r":(80|443)$", "")
+    if fold_hosts:
+        host = F.regexp_replace(host, r"^(www|m)\.", "")
     path = F.regexp_replace(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?[^/?]*([^?]*)", 1), "/+$", "")
     parts = F.split(F.regexp_extract(url, r"\?(.*)$", 1), "&")
-    kept = F.array_sort(F.filter(parts, lambda p: (p != "") & ~F.lower(p).rlike(f"^({IGNORED_PARAMETERS})(=|$)")))
+    kept = F.array_sort(F.filter(parts, lambda p: (p != "") & ~F.lower(p).rlike(f"^({ignored})(=|$)")))
     return F.concat(host, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise(""))
 
 
-def resolve_revisits(records: DataFrame) -> DataFrame:
+def resolve_revisits(records: DataFrame, **canonical) -> DataFrame:
     """records: record_id long, url, ts (orderable as long), kind ('response' or 'revisit'), etag, last_modified, digest, headers map, payload.
 
-    Returns record_id, url, canonical, ts, kind, source_id (of the response used), resolved, headers, payload.
+    Any other columns are not read; ``canonical`` are options of ``canonical_url``. Returns record_id, url, canonical, ts, kind, source_id (of the response used), resolved, headers, payload.
     """
-    base = records.select("record_id", "url", canonical_url(F.col("url")).alias("canonical"), F.col("ts").cast("long").alias("ts"), "kind", "etag", "last_modified", "digest", "headers", "payload")
-    keys = base.where(F.col("canonical").isNotNull() & F.col("ts").isNotNull()).select("record_id", "canonical", "ts", "kind", "etag", "last_modified", "digest")
+    base = records.select("record_id", "url", canonical_url(F.col("url"), **canonical).alias("canonical"), F.col("ts").cast("long").alias("ts"), "kind", "etag", "last_modified", "digest", "headers", "payload")
+    scratch = Scratch(records.sparkSession, "warc")
+    keys = scratch.save(base.where(F.col("canonical").isNotNull() & F.col("ts").isNotNull()).select("record_id", "canonical", "ts", "kind", "etag", "last_modified", "digest"), "keys")  # canonical URLs are made once
     spread = keys.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
     lo, width = spread.lo or 0, max(1, ((spread.hi or 0) - (spread.lo or 0)) // SLICES + 1)
     keys = keys.withColumn("slice", ((F.col("ts") - F.lit(lo)) / F.lit(width)).cast("int"))
@@ -53,12 +58,16 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     within = keys.withColumn("within", F.last("full", True).over(Window.partitionBy("canonical", "slice").orderBy("ts", "record_id").rowsBetween(Window.unboundedPreceding, -1)))
     found = within.where("kind = 'revisit'").join(carried, ["canonical", "slice"], "left").withColumn("hit", F.coalesce("within", "carried"))
     agrees = F.when(F.col("etag").isNotNull(), F.col("etag") == F.col("hit.etag")).when(F.col("last_modified").isNotNull(), F.col("last_modified") == F.col("hit.last_modified")).otherwise(F.col("digest") == F.col("hit.digest"))
-    pairs = found.where(agrees).select("record_id", F.col("hit.record_id").alias("source_id")).distinct()
-    stored = base.where("kind = 'response'").select(F.col("record_id").alias("source_id"), F.col("headers").alias("stored_headers"), F.col("payload").alias("stored_payload")).dropDuplicates(["source_id"])
+    # A record_id may be there several times, also at different times: each capture is resolved by its own time.
+    pairs = scratch.save(found.where(agrees).select("record_id", "ts", "canonical", F.col("hit.record_id").alias("source_id")).distinct().groupBy("record_id", "ts", "canonical").agg(F.max("source_id").alias("source_id")), "pairs")
+    wanted = pairs.select("source_id").distinct()
+    content = F.struct(F.coalesce("ts", F.lit((1 << 63) - 1)).alias("ts"), F.md5("payload").alias("m"), F.array_sort(F.map_entries("headers")).alias("h"), "payload")
+    stored = base.where("kind = 'response'").withColumnRenamed("record_id", "source_id").join(wanted, "source_id", "left_semi").groupBy("source_id").agg(F.min(content).alias("s")).select("source_id", F.map_from_entries("s.h").alias("stored_headers"), F.col("s.payload").alias("stored_payload"))
     revisits = base.where("kind = 'revisit'").drop("payload")
-    matched = revisits.join(pairs, "record_id").join(stored, "source_id").withColumn("payload", F.lit(None).cast("string"))
+    same = ["record_id", "ts", "canonical"]
+    matched = revisits.join(pairs, same).join(stored, "source_id").withColumn("payload", F.lit(None).cast("string"))
     # The rest carries no payload from elsewhere and isn't shuffled with any.
-    unmatched = revisits.join(pairs, "record_id", "left_anti").withColumn("payload", F.lit(None).cast("string"))
+    unmatched = revisits.join(pairs, same, "left_anti").withColumn("payload", F.lit(None).cast("string"))
     others = base.where("kind is null or kind <> 'revisit'")
     out = matched.unionByName(unmatched, allowMissingColumns=True).unionByName(others, allowMissingColumns=True)
     allowed = F.array(*[F.lit(h) for h in PERMITTED])
@@ -106,7 +115,7 @@ def oracle() -> str:
 WITH v AS (SELECT page_id, url, html, unnest([0, 1, 2, 3])::BIGINT AS visit FROM pages),
 rec AS (SELECT page_id * {SERIES} + visit AS record_id, url, visit * 1000000000 + page_id AS ts, CASE WHEN visit = 0 THEN 'response' ELSE 'revisit' END AS kind,
   CASE WHEN visit < 2 THEN '"' || md5(coalesce(html, '')) || '"' WHEN visit = 3 THEN '"other"' END AS etag, 'day-' || (page_id % 28) AS lm, visit, CASE WHEN visit = 0 THEN html END AS payload FROM v),
-parts AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract({url}, '^([A-Za-z][A-Za-z0-9+.-]*://)?([^/?]*)', 2)), ':(80|443)$', ''), '^(www|m)\.', '') AS host,
+parts AS (SELECT *, regexp_replace(lower(regexp_extract({url}, '^([A-Za-z][A-Za-z0-9+.-]*://)?([^/?]*)', 2)), ':(80|443)$', '') AS host,
   regexp_replace(regexp_extract({url}, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?[^/?]*([^?]*)', 1), '/+$', '') AS path,
   list_sort(list_filter(string_split(regexp_extract({url}, '\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^({IGNORED_PARAMETERS})(=|$)'))) AS q FROM rec),
 c AS (SELECT *, host || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END AS canonical FROM parts),
