@@ -8,6 +8,8 @@ in a part that is not empty. Equal parts of a ring chain documents into candidat
 Inside a region pivots create Voronoi cells by Jaccard distance; a document joins every cell whose pivot is at most 2 eps farther than its nearest one, cells join recursively, pairs outside any pivot's eps window are skipped,
 and so are pairs already connected. Regions too large for a task first lose the documents that share too little with all others together; then one pivot is compared by all tasks, and what is left is joined in tiles. Copies (equal sets) are represented by their smallest id.
 
+Shingles, parts and sets are told apart by 64-bit hashes (two of them for equal sets), not by their words.
+
 Defined cases: texts null, empty or without words have no shingles and link with nothing; fewer words than n: the whole sequence is the only shingle; rows of one doc_id are
 one node and a row of the result each; rows with a null doc_id are left out; an empty table gives no rows. Other columns aren't read.
 """
@@ -29,6 +31,8 @@ REGION_SHINGLES = 8_000_000
 TILE_SHINGLES = 3_000_000
 #: Signatures a task holds before it passes them on.
 HELD = 1_500_000
+#: Bytes of text whose signatures meet in one bucket.
+BUCKET_BYTES = 8_000_000
 _SEED = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -381,7 +385,8 @@ def jaccard_components(docs: DataFrame, words_n: int = 5, num: int = 80, den: in
     scratch = Scratch(spark, "jaccard")
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     # Two near copies meet in every bucket that holds one of their common keys, so with few buckets the edges of a document would grow with their number.
-    buckets = shuffle_buckets(spark, least=256)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(shuffle_buckets(spark, least=256), total // BUCKET_BYTES)
     first = scratch.save(docs.mapInArrow(_first_pass(words_n, num, den, buckets), _PASS1), "first", "kind")
     stars = first.where("kind = 1").select("bucket", "keys", "ids").groupBy("bucket").applyInArrow(_stars, "a long, b long")
     near = scratch.save(stars.union(first.where("kind = 2").select(F.col("doc_id").alias("a"), F.col("other").alias("b"))), "near")
