@@ -87,7 +87,7 @@ def _numbered(rows: DataFrame, keys: list[str], cell: str, order: list[str], nam
     earlier = Window.partitionBy(*keys).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select(*keys, cell, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     inside = F.row_number().over(Window.partitionBy(*keys, cell).orderBy(*order))
-    return rows.withColumn("_inside", inside).join(before, [*keys, cell]).withColumn(name, (F.col("_before") + F.col("_inside") - 1).cast("long")).drop("_before", "_inside", cell)
+    return rows.withColumn("_inside", inside).join(before.hint("shuffle_merge"), [*keys, cell]).withColumn(name, (F.col("_before") + F.col("_inside") - 1).cast("long")).drop("_before", "_inside", cell)
 
 
 def place_groups(groups: DataFrame, n_shards: int, scratch: Scratch) -> DataFrame:
@@ -100,7 +100,7 @@ def place_groups(groups: DataFrame, n_shards: int, scratch: Scratch) -> DataFram
     cells = max(1, sum(r.n for r in histogram) // CELL_ROWS)
     ranked = _numbered(groups.withColumn("cell", F.pmod(F.xxhash64("h2", "h1"), F.lit(cells)).cast("int")), ["group_size"], "cell", ["h1", "h2"], "rank")
     salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = ranked.withColumn("salt", F.pmod(F.col("h1"), F.lit(SALTS)).cast("int")).join(salted, ["group_size", "salt"])
+    met = ranked.withColumn("salt", F.pmod(F.col("h1"), F.lit(SALTS)).cast("int")).join(salted.hint("shuffle_merge"), ["group_size", "salt"])  # tables that grow with the input are never broadcast
     shard = F.element_at("shards", F.size(F.filter("starts", lambda x: x <= F.col("rank"))))
     return met.select("h1", "h2", "n_rows", shard.alias("shard"))
 
@@ -123,7 +123,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, text: str = "text", doc
     hot = F.col("n_rows") * HOT >= F.lit(total)
     own = F.broadcast(placed.where(hot).select("h1", "h2", F.col("shard").alias("hot_shard")))
     marked = slim.join(own, ["h1", "h2"], "left")
-    rest = marked.where("hot_shard is null").drop("hot_shard").join(placed.where(~hot).select("h1", "h2", "shard"), ["h1", "h2"])
+    rest = marked.where("hot_shard is null").drop("hot_shard").join(placed.where(~hot).select("h1", "h2", "shard").hint("shuffle_merge"), ["h1", "h2"])
     columns = ["doc_id", "size", "text_crc32", "shard", "row"]
     put = scratch.save(marked.where("hot_shard is not null").withColumn("shard", F.col("hot_shard")).select(columns).union(rest.select(columns)), "put")
     # Rows with equal ids and texts are interchangeable; those without an id may be many, so their cells come from their place.
