@@ -27,6 +27,7 @@ from ._common import record, row_batches
 
 N_MAX = 4
 PART_BYTES = 1 << 18
+SALTS = 16
 LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -180,8 +181,10 @@ def train_rows(docs: DataFrame, per_lang: int, max_langs: int, max_bytes: int) -
     ok = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= max_bytes))
     ok = ok.withColumn("h", F.xxhash64("text"))
     langs = ok.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).select("lang")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h"))
-    picked = ok.select("doc_id", "lang", "h").distinct().join(F.broadcast(langs), "lang").withColumn("rank", rank).where(F.col("rank") <= per_lang)
+    order = [F.xxhash64("doc_id"), "doc_id", "h"]
+    few = lambda rows, *keys: rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", *keys).orderBy(*order))).where(F.col("rank") <= per_lang)
+    salted = ok.select("doc_id", "lang", "h", F.pmod("h", F.lit(SALTS)).alias("salt")).distinct().join(F.broadcast(langs), "lang")
+    picked = few(few(salted, "salt").drop("rank")).drop("salt")  # a frequent language is cut down salt by salt first
     found = ok.join(F.broadcast(picked), ["doc_id", "lang", "h"]).select("lang", "rank", "text").dropDuplicates(["lang", "rank"]).collect()  # picked: per_lang rows a language
     return [(r.text.encode(), r.lang) for r in sorted(found, key=lambda r: (r.lang, r.rank))]
 
