@@ -2,8 +2,9 @@
 
 The Jaccard distance is a metric. A pivot join over the whole corpus would be exact but useless: nearly all documents are at distance 1 from every pivot, so the windows would
 copy everything everywhere. So the first pivot is the empty set, under the distance |A xor B|: its regions are rings of set sizes, and the window copies a document into the next
-smaller ring if it can have a partner there. In a ring two linked sets differ in at most D shingles; cut by hash into more than D parts (allowing for empty ones), they agree
-in a part that is not empty. Equal parts of a ring chain documents into candidate regions; a part's key travels once for each chunk of documents, so a group of copies is never dealt to one task.
+smaller ring if it can have a partner there. Inside a ring all shingles have one order, rarest first: a linked set shares at least num / den of its shingles, so two linked sets have one in common among their
+1 - num / den rarest ones (and one more). Documents that share such a shingle in a ring are chained into candidate regions. Passages that many documents hold are common, so they chain only documents that hold little else.
+The order comes from a table of counts by hash over all documents; any order gives the same links, a good one gives small regions. A shingle's key travels once for each chunk of documents, so a group of copies is never dealt to one task.
 
 Inside a region pivots create Voronoi cells by Jaccard distance; a document joins every cell whose pivot is at most 2 eps farther than its nearest one, cells join recursively, pairs outside any pivot's eps window are skipped,
 and so are pairs already connected. Regions too large for a task first lose the documents that share too little with all others together; then one pivot is compared by all tasks, and what is left is joined in tiles. Copies (equal sets) are represented by their smallest id.
@@ -20,6 +21,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,44 +47,76 @@ def rings(num: int, den: int, largest: int) -> np.ndarray:
     return np.array(ends, np.int64)
 
 
-def signatures(hs: np.ndarray, os: np.ndarray, n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, node) of all parts of all sets; hs, os: shingles sorted by owner; n: set sizes.
+def signatures(hs: np.ndarray, os: np.ndarray, n: np.ndarray, num: int, den: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, node) of the rarest shingles of all sets; hs, os: shingles sorted by owner; n: set sizes; levels: how common shingles are, by the first bits of their hash.
 
-    A set has two nodes: 2 * owner in its own ring, and 1 more in the ring below. Chains of equal parts thus stay inside a ring.
+    A set has two nodes: 2 * owner in its own ring, and 1 more in the ring below. Chains of equal shingles thus stay inside a ring.
     """
     ends = rings(num, den, int(n.max()) if len(n) else 1)
     ring = np.searchsorted(ends, n)
+    common = levels[(hs >> np.uint64(64 - (len(levels) - 1).bit_length())).astype(np.int64)]
+    order = np.argsort(os << 8 | common, kind="stable")  # of equal level the smaller hash first
+    rank = np.arange(len(hs)) - (np.cumsum(n) - n)[os]
+    few = order[rank < (n + (-n * num // den) + 1)[os]]  # rank and os are the same before and after the sort by owner
+    hs, os = hs[few], os[few]
     out_s, out_o = [], []
     for down in (0, 1):
         c = ring - down
-        use = (n > 0) & (c >= 0)
+        use = c >= 0
         if down:
             use &= -(-n * num // den) <= ends[np.maximum(c, 0)]
-        if not use.any():
-            continue
-        far = (den - num) * ends[np.maximum(c, 0)] // num
-        spare = 2 + (far + 1) // 50
-        parts = np.where(use, far + 1 + spare, 0)
-        base = np.cumsum(parts) - parts
         mine = use[os]
-        o = os[mine]
-        h = mix64(hs[mine] ^ _SEED)
-        place = base[o] + (h % parts[o].astype(np.uint64)).astype(np.int64)
-        sums = np.zeros(int(parts.sum()), np.uint64)
-        np.add.at(sums, place, mix64(h + _SEED))
-        full = np.bincount(place, minlength=len(sums)) > 0
-        owner = np.repeat(np.arange(len(n)), parts)
-        empty = parts - np.bincount(owner[full], minlength=len(n))
-        send = full | (empty > spare)[owner]
-        index = (np.arange(len(sums)) - base[owner]).astype(np.uint64)
-        tag = mix64(index * np.uint64(0x9E3779B97F4A7C15) + c[owner].astype(np.uint64) + _SEED)
-        out_s.append(mix64(sums + tag)[send])
-        out_o.append(2 * owner[send] + down)
-    if not out_s:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        out_s.append(mix64(hs[mine] + mix64(c[os[mine]].astype(np.uint64) + _SEED)))
+        out_o.append(2 * os[mine] + down)
     return np.concatenate(out_s), np.concatenate(out_o)
 
 
+def table_bits(total: int) -> int:
+    """Bits of the table of counts: a place for each 64 bytes of text, between 2^16 and 2^23 places."""
+    return min(23, max(16, (total // 64).bit_length()))
+
+
+#: Parts in which tables of counts are added up, and tasks whose tables one task adds.
+COUNT_PARTS, COUNT_TASKS = 16, 64
+
+
+def _count(words_n: int, bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many documents of a task have a shingle, by the first bits of its hash."""
+        counts, seen = np.zeros(1 << bits, np.uint32), False
+        for _, texts in text_batches(batches):
+            h, owner, _, _ = words(*join_texts(texts))
+            hs, _ = shingles(h, owner, len(texts), words_n)
+            counts += np.bincount((hs >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+            seen = seen or len(hs) > 0
+        if seen:
+            parts = counts.reshape(COUNT_PARTS, -1).astype("<u8" if counts.max() > 65535 else "<u2")
+            task = TaskContext.get().partitionId() // COUNT_TASKS
+            yield record({"part": pa.array(range(COUNT_PARTS), pa.int32()), "task": pa.array([task] * COUNT_PARTS, pa.int32()), "width": pa.array([parts.itemsize] * COUNT_PARTS, pa.int32()), "counts": pa.array([zstandard.compress(x.tobytes(), 1) for x in parts], pa.binary())})
+
+    return run
+
+
+def _add_counts(table: pa.Table) -> pa.Table:
+    total = 0
+    for blob, width in zip(table.column("counts").to_pylist(), table.column("width").to_pylist(), strict=True):
+        total = total + np.frombuffer(zstandard.decompress(blob), f"<u{width}").astype(np.uint64)
+    row = {"part": table.column("part")[0].as_py(), "task": 0, "width": 8, "counts": zstandard.compress(total.tobytes(), 1)}
+    return pa.Table.from_pylist([row], schema=pa.schema([("part", pa.int32()), ("task", pa.int32()), ("width", pa.int32()), ("counts", pa.binary())]))
+
+
+def commonness(docs: DataFrame, words_n: int, total: int) -> np.ndarray:
+    """For each value of the first bits of a shingle's hash how many documents have such a shingle, on a logarithmic scale from 0 to 255. At most 8 MB, whatever the corpus."""
+    schema = "part int, task int, width int, counts binary"
+    bits = table_bits(total)
+    summed = docs.select("doc_id", "text").mapInArrow(_count(words_n, bits), schema).groupBy("part", "task").applyInArrow(_add_counts, schema).groupBy("part").applyInArrow(_add_counts, schema)
+    out = np.zeros((COUNT_PARTS, (1 << bits) // COUNT_PARTS), np.uint8)
+    for r in summed.collect():  # COUNT_PARTS rows
+        counts = np.frombuffer(zstandard.decompress(r.counts), "<u8")
+        out[r.part] = np.minimum(255, 8 * np.log2(counts + 1.0)).astype(np.uint8)
+    return out.reshape(-1)
+
+
 def first_of_each(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct keys, their smallest id, and edges from every other id of a key to it."""
     order = np.lexsort((ids, key))
@@ -102,7 +137,7 @@ def _pass1_row(kind: int, rows: int, **columns) -> pa.RecordBatch:
     return record({k: pa.array(columns[k], t) if k in columns else pa.array([kind] * rows, t) if k == "kind" else pa.nulls(rows, t) for k, t in types.items()})
 
 
-def _first_pass(words_n: int, num: int, den: int, buckets: int):
+def _first_pass(words_n: int, num: int, den: int, buckets: int, levels: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Kind 0: a row for each document; 1: packed signatures of a bucket; 2: edges found here."""
         held: list = []
@@ -131,7 +166,7 @@ def _first_pass(words_n: int, num: int, den: int, buckets: int):
             np.add.at(s1, os, mix64(hs + np.uint64(1)))
             np.add.at(s2, os, mix64(hs ^ np.uint64(0xABCDEF)))
             yield _pass1_row(0, len(texts), doc_id=doc_ids, n=n, s1=s1.view(np.int64), s2=s2.view(np.int64))
-            sig, so = signatures(hs, os, n, num, den)
+            sig, so = signatures(hs, os, n, num, den, levels.value)
             held.append((sig, 2 * np.array(doc_ids, np.int64)[so >> 1] + (so & 1)))
             if sum(len(x) for x, _ in held) >= HELD:
                 yield from flush()
@@ -387,7 +422,7 @@ def jaccard_components(docs: DataFrame, words_n: int = 5, num: int = 80, den: in
     # Two near copies meet in every bucket that holds one of their common keys, so with few buckets the edges of a document would grow with their number.
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(shuffle_buckets(spark, least=256), total // BUCKET_BYTES)
-    first = scratch.save(docs.mapInArrow(_first_pass(words_n, num, den, buckets), _PASS1), "first", "kind")
+    first = scratch.save(docs.mapInArrow(_first_pass(words_n, num, den, buckets, spark.sparkContext.broadcast(commonness(docs, words_n, total))), _PASS1), "first", "kind")
     stars = first.where("kind = 1").select("bucket", "keys", "ids").groupBy("bucket").applyInArrow(_stars, "a long, b long")
     near = scratch.save(stars.union(first.where("kind = 2").select(F.col("doc_id").alias("a"), F.col("other").alias("b"))), "near")
     rows = scratch.save(first.where("kind = 0").select("doc_id", "n", "s1", "s2"), "rows")
