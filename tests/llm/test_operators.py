@@ -73,6 +73,30 @@ def test_jaccard_large_regions(docs, rows, monkeypatch):
     test_jaccard(docs, rows, 4, 85)
 
 
+def test_linked_sets_meet_under_any_order():
+    """Two linked sets share a signature in a ring, however the shingles are ordered."""
+    r = np.random.default_rng(1)
+    for trial in range(150):
+        num, base = (80, 85, 50)[trial % 3], r.integers(0, 2**63, int(r.integers(1, 120))).astype(np.uint64)
+        sets = [np.unique(np.r_[base[r.random(len(base)) < r.choice([0.85, 0.9, 0.95, 1.0])], r.integers(0, 2**63, int(r.integers(0, 1 + len(base) // 8))).astype(np.uint64)]) for _ in range(8)]
+        sets = [x for x in sets if len(x)]
+        if not sets:
+            continue
+        n = np.array([len(x) for x in sets])
+        sig, node = jaccard.signatures(np.concatenate(sets), np.repeat(np.arange(len(sets)), n), n, num, 100, r.integers(0, 256, 1 << 16).astype(np.uint8))
+        by, plain = [set(sig[node >> 1 == i].tolist()) for i in range(len(sets))], [set(x.tolist()) for x in sets]
+        assert all(by[a] & by[b] for a, b in itertools.combinations(range(len(sets)), 2) if 100 * len(plain[a] & plain[b]) >= num * len(plain[a] | plain[b]))
+
+
+def test_commonness(docs, rows):
+    s = sets_of(rows, 5)
+    levels = jaccard.commonness(docs, 5, 1 << 20)
+    counts = np.zeros(len(levels))
+    np.add.at(counts, np.array([h for x in s.values() for h in x], np.uint64) >> np.uint64(64 - 16), 1)
+    assert len(levels) == 1 << 16 and (levels == np.minimum(255, 8 * np.log2(counts + 1)).astype(np.uint8)).all()
+    assert [jaccard.table_bits(t) for t in (0, 1 << 30, 1 << 47)] == [16, 23, 23]
+
+
 def test_region_join():
     r = np.random.default_rng(3)
     sets = []
