@@ -453,8 +453,7 @@ def jaccard_components(docs: DataFrame, words_n: int = 5, num: int = 80, den: in
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """Rows of docs, all columns, whose doc_id is the smallest of its component; rows with a null doc_id stay."""
     out = jaccard_components(docs, **options).where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(out, "doc_id", "left_anti").select(*docs.columns)
-    return kept
+    return docs.join(out.hint("shuffle_merge"), "doc_id", "left_anti").select(*docs.columns)  # what is dropped grows with the corpus, so it is never broadcast
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
