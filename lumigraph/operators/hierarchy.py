@@ -6,12 +6,17 @@ level of the bisection costs what the edges cost. What is kept is a forest: (u,
 and the components at t are those connected by merges of at least t. No table of pairs is ever made.
 
 Parts of the bisection of at most ``LOCAL`` edges are finished each in one task; before, components come from ``connect``, by rounds of joins where a part is too large for a task.
+
+Where every edge counts in both directions, strong components are components, and a strongest spanning forest is the forest of merges: no bisection is needed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -68,16 +73,83 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return own, root[own]
 
 
+def spanning(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Places of the edges of a strongest spanning forest of a - b: every component takes its strongest edge until none is left. Equal weights are ordered by place, so that no cycle closes."""
+    ids, code = np.unique(np.concatenate([a, b]), return_inverse=True)
+    at = np.argsort(w, kind="stable")[::-1]
+    x, y = code[: len(a)][at], code[len(a) :][at]
+    taken = []
+    while True:
+        apart = x != y
+        x, y, at = x[apart], y[apart], at[apart]
+        if not len(x):
+            return np.concatenate(taken) if taken else at
+        first = np.full(len(ids), len(x))
+        np.minimum.at(first, x, np.arange(len(x)))
+        np.minimum.at(first, y, np.arange(len(x)))
+        best = np.unique(first[first < len(x)])
+        taken.append(at[best])
+        root = connect.label_min(len(ids), x[best], y[best])
+        x, y = root[x], root[y]
+
+
+def _spanning_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = list(batches)
+    if rows:
+        table = pa.Table.from_batches(rows)
+        yield from table.take(spanning(*(table[c].to_numpy() for c in ("a", "b", "w")))).to_batches()
+
+
+def _spanning_forest(e: DataFrame, local: int) -> DataFrame:
+    """u, v, m: a strongest spanning forest of edges (a, b, w) that count in both directions.
+
+    Every task thins its share of the edges to a strongest spanning forest: an edge left out is a weakest one of a cycle, which the whole forest can do without. Shares are even ranges of the side with
+    more ids, so that one of these is in few shares. Where that leaves more than half of the edges, components take their strongest edge by joins and are contracted, which halves the ids.
+    """
+    thin = lambda rows: rows.mapInArrow(_spanning_batches, "a long, b long, w double")
+    e, done = e.select(F.col("a").cast("long"), F.col("b").cast("long"), F.col("w").cast("double")), None
+    n = e.count()
+    while n > local:
+        ids = e.agg(F.approx_count_distinct("a").alias("a"), F.approx_count_distinct("b").alias("b")).first()
+        e = settle(thin(e.repartitionByRange(-(-n // local), *(["a", "b"] if ids.a > ids.b else ["b", "a"]))))
+        before, n = n, e.count()
+        if n > local and 2 * n > before:
+            found, e = _contract(e, local)
+            done, n = found if done is None else done.union(found), e.count()
+    last = thin(e.repartition(1)).select(F.col("a").alias("u"), F.col("b").alias("v"), F.col("w").alias("m"))
+    return last if done is None else done.union(last)
+
+
+def _contract(e: DataFrame, local: int) -> tuple[DataFrame, DataFrame]:
+    """u, v, m of the strongest edge of every id, and the edges between what they join. That goes by the id from which its strongest edge was taken twice: the way to it is nowhere weaker than an id's strongest edge, so
+    later merges may name it."""
+    by = F.struct("w", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
+    ends = e.select(F.col("a").alias("id"), F.struct(by.alias("by"), F.col("b").alias("to")).alias("top")).union(e.select("b", F.struct(by.alias("by"), F.col("a").alias("to"))))
+    taken = settle(ends.groupBy("id").agg(F.max("top").alias("top")).select("id", "top.to", F.col("top.by.w").alias("w")))
+    twice = taken.select(F.col("to").alias("id"), F.col("id").alias("to")).where("id < to")
+    roots = settle(taken.join(twice, ["id", "to"]).select(F.col("id").alias("root")))
+    whole = settle(connect.components(taken.select(F.lit(0).alias("key"), F.col("id").alias("a"), F.col("to").alias("b")), local).select("id", "component"))
+    label = settle(whole.join(whole.join(roots, F.col("id") == F.col("root")).select("component", "root"), "component").select("id", "root"))
+    a, b = (label.select(F.col("id").alias(c), F.col("root").alias(f"{c}_of")) for c in ("a", "b"))
+    rest = e.join(a, "a").join(b, "b").where("a_of <> b_of").groupBy(F.least("a_of", "b_of").alias("a"), F.greatest("a_of", "b_of").alias("b")).agg(F.max("w").alias("w"))
+    merges = taken.join(roots, F.col("id") == F.col("root"), "left_anti").select(F.col("id").alias("u"), F.col("to").alias("v"), F.col("w").alias("m"))
+    return merges, settle(rest)
+
+
 #: Names that callers may give; the forest is the same.
 METHODS = ("bisect", "bottomup")
 
 
-def merge_table(e: DataFrame, test: EdgeTest = EdgeTest(), local: int = LOCAL, method: str = "bisect") -> DataFrame:
-    """u, v, m: the forest of merges of the edges that count."""
+def merge_table(e: DataFrame, test: EdgeTest = EdgeTest(), local: int = LOCAL, method: str = "bisect", both: bool = False) -> DataFrame:
+    """u, v, m: the forest of merges of the edges that count. With ``both`` an edge stands for both directions; e is read several times then."""
     if method not in METHODS:
         raise ValueError(f"method must be one of {', '.join(METHODS)}")
     sign = -1.0 if test.rev else 1.0
-    kept = e.where(test.valid(F.col("w")) & (F.col("src") != F.col("dst"))).groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.max(F.col("w") * sign).alias("w"))
+    valid = e.where(test.valid(F.col("w")) & (F.col("src") != F.col("dst")))
+    if both:
+        forest_ = _spanning_forest(valid.select(F.col("src").alias("a"), F.col("dst").alias("b"), (F.col("w") * sign).alias("w")), local)
+        return settle(forest_.select("u", "v", (F.col("m") * sign).alias("m")))
+    kept = valid.groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.max(F.col("w") * sign).alias("w"))
     parts = settle(kept.select(F.lit("").alias("part"), "a", "b", "w"))
     return settle(_merges(parts, local).select("u", "v", (F.col("m") * sign).alias("m")))
 

@@ -238,12 +238,12 @@ def _tree_vertices(spark, d):
 h AS (SELECT threshold, a, b FROM s, t WHERE w >= threshold) SELECT threshold, count(DISTINCT b)::BIGINT AS parts, count(DISTINCT a)::BIGINT AS suppliers FROM h GROUP BY 1""")
 def _supplier_part_cuts(spark, d):
     """The whole hierarchy of the supplier and part graph, edges in both directions, cut at three thresholds: how many parts and suppliers have company there."""
-    s = settle(graphs.supplier_parts(spark, d).select("src", (F.col("dst") + 10_000_000).alias("dst"), "w"))
-    e = s.union(s.select("dst", "src", "w"))
+    # Suppliers are even vertices and parts odd ones, so that no key is taken for one of the other table.
+    s = settle(graphs.supplier_parts(spark, d).select((F.col("src") * 2).alias("src"), (F.col("dst") * 2 + 1).alias("dst"), "w"))
     at = spark.createDataFrame([(60.0,), (90.0,), (120.0,)], "threshold double")
-    v = e.select(F.col("src").alias("vertex")).distinct()
-    cut = hierarchy.cuts(hierarchy.merge_table(e), v, at, minsize=2)
-    is_part = F.col("vertex") >= 10_000_000
+    v = s.select(F.col("src").alias("vertex")).union(s.select("dst")).distinct()
+    cut = hierarchy.cuts(hierarchy.merge_table(s, both=True), v, at, minsize=2)
+    is_part = F.col("vertex") % 2 != 0
     return cut.groupBy("threshold").agg(F.sum(is_part.cast("long")).alias("parts"), F.sum((~is_part).cast("long")).alias("suppliers"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lumigraph.functions import scalar
 from lumigraph.operators import connect, diffusion, edges, export, flows, hierarchy, permute, ranks, stats
 from lumigraph.operators.edges import EdgeTest
+from lumigraph.plans import catalog
 from lumigraph.sources import graphs
 from lumigraph.tables import settle
 
@@ -76,6 +77,70 @@ def test_bisection_by_joins(spark, merges):
         hierarchy.merge_table(g, method="other")
 
 
+def same_cuts(n, a, b):
+    """Whether two forests of merges (u, v, m) of vertices 0..n-1 have the same components at every threshold."""
+    return all((connect.label_min(n, a[0][a[2] >= t], a[1][a[2] >= t]) == connect.label_min(n, b[0][b[2] >= t], b[1][b[2] >= t])).all() for t in np.union1d(a[2], b[2]))
+
+
+def merge_arrays(table):
+    pdf = table.toPandas()
+    return pdf.u.to_numpy(), pdf.v.to_numpy(), pdf.m.to_numpy()
+
+
+def test_spanning_forests_of_random_graphs():
+    """Of edges in both directions, a strongest spanning forest has the components that the bisection finds."""
+    r = np.random.default_rng(1)
+    for _ in range(200):
+        n, m = int(r.integers(2, 12)), int(r.integers(0, 40))
+        a, b, w = r.integers(0, n, m), r.integers(0, n, m), r.integers(1, 8, m).astype(float)
+        at = hierarchy.spanning(a, b, w)
+        forest = a[at], b[at], w[at]
+        assert len(at) == n - len(np.unique(connect.label_min(n, a, b)))
+        assert same_cuts(n, forest, hierarchy.bisect(np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w])))
+
+
+@pytest.mark.parametrize("local, rounds", [(1 << 20, 0), (300, 1)])
+def test_merges_in_both_directions(spark, monkeypatch, local, rounds):
+    """Shares that a task thins, and contraction where they leave too much, give the forest of one task."""
+    r = np.random.default_rng(2)
+    a = np.concatenate([r.integers(0, 40, 4000), r.integers(500, 1000, 700)])  # few ids with many others, and a sparse part
+    b = np.concatenate([r.integers(40, 500, 4000), r.integers(500, 1000, 700)])
+    w = r.integers(1, 30, len(a)).astype(float)
+    e = settle(spark.createDataFrame(list(zip(a.tolist(), b.tolist(), w.tolist())), "src long, dst long, w double"))
+    own = a != b
+    a, b, w = a[own], b[own], w[own]
+    want = hierarchy.bisect(np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w]))
+    contract, calls = hierarchy._contract, []
+    monkeypatch.setattr(hierarchy, "_contract", lambda *x: calls.append(1) or contract(*x))
+    got = merge_arrays(hierarchy.merge_table(e, local=local, both=True))
+    assert len(calls) >= rounds and (rounds or not calls)
+    assert len(got[0]) == len(want[0]) and same_cuts(1000, got, want)
+    back = merge_arrays(hierarchy.merge_table(e, EdgeTest(rev=True), local=local, both=True))
+    want = hierarchy.bisect(np.concatenate([a, b]), np.concatenate([b, a]), -np.concatenate([w, w]))
+    assert same_cuts(1000, (back[0], back[1], -back[2]), want)
+
+
+def test_no_edges_in_both_directions(spark):
+    none = graphs.edges(spark, [])
+    assert hierarchy.merge_table(none, both=True).isEmpty() and hierarchy.merge_table(graphs.edges(spark, [(1, 1, 2.0)]), local=0, both=True).isEmpty()
+
+
+def test_supplier_part_cuts(spark, tmp_path, monkeypatch):
+    """Against the SQL, where supplier keys reach those of the parts; the hierarchy is found without the depth-first search."""
+    import duckdb
+
+    rows = [(10_000_005, 5, 40.0), (10_000_005, 5, 30.0), (7, 6, 95.0), (7, 5, 20.0), (8, 6, 130.0), (20_000_000, 9, 61.0), (10_000_006, 10_000_006, 90.0), (9, 1, 59.0)]
+    spark.createDataFrame(rows, "l_suppkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    duckdb.sql(f"CREATE OR REPLACE TEMP VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+
+    def refuse(*_):
+        raise AssertionError("bisection of edges that count in both directions")
+
+    monkeypatch.setattr(hierarchy, "_merges", refuse)
+    got = sorted(tuple(r) for r in catalog.QUERIES["supplier_part_cuts"](spark, str(tmp_path)).collect())
+    assert got == sorted(duckdb.sql(catalog.ORACLES["supplier_part_cuts"]).fetchall())
+
+
 def test_components_of_many_graphs(spark):
     rows = [("x", 1, 2), ("x", 3, 2), ("x", 5, 5), ("y", 1, 2), ("y", 2, 1), ("y", 2, 3), ("y", 3, 4), ("y", 4, 3), ("z", 9, 8)]
     e = spark.createDataFrame(rows, "key string, a long, b long")
